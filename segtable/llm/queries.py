@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe
-from .scratch import table
+from . import byte_bpe, token_counts, token_files
+from .scratch import new_folder, table
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +29,22 @@ def _bpe_digest(ids: list[int], decoded: bytes) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest-match token counts of every document by a word-end vocabulary."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.with_counts(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_tokens")
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and checksum, read back from the token files written of them all."""
+    docs = table(spark, sf_dir, "documents")
+    folder = new_folder(spark, "token-files")
+    files = token_files.write(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_files.read_documents(spark, folder, files)
+
+
 def queries() -> dict:
-    return {"op1_byte_bpe": op1_byte_bpe}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_token_counts": op2_token_counts, "op9_token_files": op9_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
