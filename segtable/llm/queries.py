@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, token_counts, token_files
+from . import byte_bpe, substring_dedup, token_counts, token_files
 from .scratch import new_folder, table
 
 
@@ -43,8 +43,19 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, folder, files)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 35-word windows that repeat."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.digests(substring_dedup.repeated_spans(docs))
+
+
 def queries() -> dict:
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_token_counts": op2_token_counts, "op9_token_files": op9_token_files}
+    return {
+        "op1_byte_bpe": op1_byte_bpe,
+        "op2_token_counts": op2_token_counts,
+        "op9_token_files": op9_token_files,
+        "op10_substring_dedup": op10_substring_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
