@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, substring_dedup, token_counts, token_files
+from . import byte_bpe, minhash_dedup, substring_dedup, token_counts, token_files
 from .scratch import new_folder, table
 
 
@@ -35,6 +35,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_counts(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_tokens")
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: five-word shingles, similarity 0.75."""
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place and checksum, read back from the token files written of them all."""
     docs = table(spark, sf_dir, "documents")
@@ -53,6 +58,7 @@ def queries() -> dict:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_token_counts": op2_token_counts,
+        "op8_minhash_dedup": op8_minhash_dedup,
         "op9_token_files": op9_token_files,
         "op10_substring_dedup": op10_substring_dedup,
     }
