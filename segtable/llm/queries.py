@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, minhash_dedup, substring_dedup, token_counts, token_files
+from . import byte_bpe, minhash_dedup, substring_dedup, token_counts, token_files, toxicity
 from .scratch import new_folder, table
 
 
@@ -35,6 +35,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_counts(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_tokens")
 
 
+def _held_out():
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents by a model of the labelled rows that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~_held_out()))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: five-word shingles, similarity 0.75."""
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -58,6 +70,7 @@ def queries() -> dict:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_token_counts": op2_token_counts,
+        "op3_toxicity": op3_toxicity,
         "op8_minhash_dedup": op8_minhash_dedup,
         "op9_token_files": op9_token_files,
         "op10_substring_dedup": op10_substring_dedup,

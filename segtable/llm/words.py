@@ -18,6 +18,10 @@ CHUNK_BYTES = 4 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that are in a word: all but white space.
+DENSE = ~_SPACE
+#: Letters, digits and whatever is not ASCII.
+LETTERS = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -77,13 +81,13 @@ class Words:
 
     __slots__ = ("data", "start", "end", "hash", "first")
 
-    def __init__(self, off: np.ndarray, data: np.ndarray, first: int, last: int, lower: bool = False):
+    def __init__(self, off: np.ndarray, data: np.ndarray, first: int, last: int, lower: bool = False, inside: np.ndarray = DENSE):
         lo, hi = int(off[first]), int(off[last])
         self.data = data[lo:hi]
         n = hi - lo
         edge = np.zeros(n + 1, bool)  # a text ends where the next begins, space or none
         edge[off[first : last + 1] - lo] = True
-        word = ~_SPACE[self.data]
+        word = inside[self.data]
         before = np.empty(n, bool)
         if n:
             before[0] = False
