@@ -41,8 +41,6 @@ WINDOW, PERIOD = 35, 21
 HELD = 1_500_000
 #: Spans written in at most so many bytes go to the rows by broadcast; more, by a join that shuffles both.
 BROADCAST_BYTES = 8 << 20
-#: Buckets of hashes for each partition of an exchange; a task holds one bucket at a time.
-BUCKETS = 4
 
 
 def difference_cover(period: int) -> list[int]:
@@ -85,17 +83,10 @@ def _send(hash_: np.ndarray, key: np.ndarray, place: np.ndarray, count: int) ->
     yield _packed(mix(key[settled].view(np.uint64)) % np.uint64(count), count, [None, key[settled], place[settled], None])
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """The rows of one bucket after another; the input is sorted by bucket."""
-    held: list[dict] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and held[0]["bucket"] != row["bucket"]:
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
+def _bucket(batches: Iterator[pa.RecordBatch]) -> list[list[dict]]:
+    """The rows of a partition, which is one bucket; no list where there are none."""
+    held = [row for batch in batches for row in batch.to_pylist()]
+    return [held] if held else []
 
 
 def _joined(rows: list[dict], name: str, kind) -> np.ndarray:
@@ -106,7 +97,7 @@ def _repeats(count: int):
     """Places of hashes that occur twice, sent on to the buckets of their keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_bucket(batches):
+        for rows in _bucket(batches):
             settled, sent = [r for r in rows if r["hash"] is None], [r for r in rows if r["hash"] is not None]
             key, place = [_joined(settled, "key", np.int64)], [_joined(settled, "place", np.int32)]
             if sent:
@@ -128,7 +119,7 @@ def _spans(before: int, after: int):
     """For each key the union of [place - before, place + after] of its places, as starts and ends in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_bucket(batches):
+        for rows in _bucket(batches):
             key, place = _joined(rows, "key", np.int64), _joined(rows, "place", np.int32).astype(np.int64)
             order = np.lexsort((place, key))
             key, place = key[order], place[order]
@@ -146,9 +137,8 @@ def _spans(before: int, after: int):
 
 def _exchange(sent: DataFrame, before: int, after: int, name: str) -> tuple[DataFrame, str]:
     parts = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    found = dealt(sent).mapInArrow(_repeats(parts * BUCKETS), _SENT_DDL)
-    return save(dealt(found).mapInArrow(_spans(before, after), "__key long, spans array<int>"), name)
+    found = sent.repartitionById(parts, "bucket").mapInArrow(_repeats(parts), _SENT_DDL)
+    return save(found.repartitionById(parts, "bucket").mapInArrow(_spans(before, after), "__key long, spans array<int>"), name)
 
 
 # --- the two scans -----------------------------------------------------------------
@@ -219,7 +209,7 @@ def _joined_spans(keyed: DataFrame, spans: DataFrame, path: str, how: str) -> Da
 
 def repeated_spans(df: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, period: int = PERIOD) -> DataFrame:
     """``df`` with ``spans`` (array<int>): first and past-the-last word of each repeated run in turn; null where none repeats."""
-    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * BUCKETS
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.drop("spans").withColumn("__key", F.xxhash64(F.col(id), F.col(text)))
     narrow = keyed.select("__key", F.col(text).alias("__text"))
     anchors = narrow.mapInArrow(_map(_anchors(window, period), count), _SENT_DDL)
