@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, minhash_dedup, substring_dedup, token_counts, token_files, toxicity
+from . import byte_bpe, fingerprints, minhash_dedup, substring_dedup, token_counts, token_files, toxicity
 from .scratch import new_folder, table
 
 
@@ -47,6 +47,23 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness to each other and to the next document's."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    pairs = fingerprints.with_next(fingerprints.fingerprints(docs, name="own"), "doc_id", "text", ["text", "own"])
+    n = F.length("text").cast("long")
+    taken = F.floor(n / 3).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), (n - taken).cast("int")), F.substring(F.col("next.text"), F.lit(1), taken))
+    pairs = pairs.select("doc_id", n.alias("n_chars"), edited.alias("edited"), "own", F.col("next.own").alias("following"))
+    pairs = fingerprints.fingerprints(pairs, "edited", "changed")
+    return pairs.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.shown(F.col("own")).alias("fingerprint"), fingerprints.shown(F.col("changed")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("own"), F.col("changed")).alias("near_edited"),
+        fingerprints.likeness(F.col("own"), F.col("following")).alias("near_next"),
+    )
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: five-word shingles, similarity 0.75."""
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -71,6 +88,7 @@ def queries() -> dict:
         "op1_byte_bpe": op1_byte_bpe,
         "op2_token_counts": op2_token_counts,
         "op3_toxicity": op3_toxicity,
+        "op6_fingerprints": op6_fingerprints,
         "op8_minhash_dedup": op8_minhash_dedup,
         "op9_token_files": op9_token_files,
         "op10_substring_dedup": op10_substring_dedup,
