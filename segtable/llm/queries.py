@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, minhash_dedup, substring_dedup, token_counts, token_files, toxicity
+from . import byte_bpe, embedding_dedup, fingerprints, minhash_dedup, substring_dedup, token_counts, token_files, toxicity
 from .scratch import new_folder, table
 
 
@@ -47,6 +47,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all embeddings of one label, cosine 0.98."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness to each other and to the next document's."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -88,6 +93,7 @@ def queries() -> dict:
         "op1_byte_bpe": op1_byte_bpe,
         "op2_token_counts": op2_token_counts,
         "op3_toxicity": op3_toxicity,
+        "op4_embedding_dedup": op4_embedding_dedup,
         "op6_fingerprints": op6_fingerprints,
         "op8_minhash_dedup": op8_minhash_dedup,
         "op9_token_files": op9_token_files,
