@@ -19,7 +19,9 @@ columns of the input are left out of the files and do not matter.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,42 +35,82 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import byte_characters
 from .scratch import save
 
 #: Sequences in a record batch.
 BATCH = 1024
+#: Texts encoded at once.
+ROWS = 128
 #: Distinct words whose ids a worker keeps; beyond that it starts afresh.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 1_000_000
+
+
+#: A word of Latin-1 letters, perhaps with points after it: two pieces at most, as letters end where points begin.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
 
 
 class WordEncoder:
     """Ids of whole texts, each distinct word between ASCII spaces encoded once.
 
     It serves tokenizers whose pieces never hold white space: those drop it, so a
-    text's ids are its words' ids end to end.
+    text's ids are its words' ids end to end. Where the tokenizer lowers its text and
+    splits off letters, words of Latin-1 letters need neither step from the library:
+    they go to its merges at once, in lower case.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2") if self._tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        with open(path, encoding="utf-8") as file:
+            whole = json.load(file)
+        self._full = Tokenizer.from_str(json.dumps(whole))
+        self._lowers = "Lowercase" in json.dumps(whole["normalizer"]) and "[\\\\p{L}]+|" in json.dumps(whole["pre_tokenizer"])
+        self._merges = Tokenizer.from_str(json.dumps(whole | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
+        self.kind = np.dtype("<u2") if self._full.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self._known: dict[bytes, bytes] = {}
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids of one text as little-endian numbers of ``kind``."""
-        words = (text or "").encode().split()
-        new = list({w for w in words if w not in self._known})
+        char = byte_characters()
+        self._shown = {c: "".join(char[b] for b in chr(c).encode()) for c in range(256)}
+
+    def _encode(self, tokenizer, words: list[str]) -> list[bytes]:
+        """The ids of each word, from one call for them all."""
+        made = tokenizer.encode_batch([words], is_pretokenized=True, add_special_tokens=False)[0]
+        ids, size = np.array(made.ids, self.kind).tobytes(), self.kind.itemsize
+        ends = np.searchsorted(np.array(made.word_ids, np.int64), np.arange(len(words)), "right") * size
+        return [ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, other, parts, cores = self._known, set(), [], {}
+        for w in words:
+            match = _PLAIN.fullmatch(w.decode()) if self._lowers else None
+            if match:
+                core, tail = match[1].lower(), match[2].encode()
+                key = core.encode()
+                parts.append((w, key, tail))
+                if key not in known:
+                    cores[key] = core.translate(self._shown)
+                if tail and tail not in known:
+                    other.add(match[2])
+            elif b"<|" in w:  # special tokens belong to no word of the library's count
+                known[w] = np.array(self._full.encode(w.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+            else:
+                other.add(w.decode())
+        for tokenizer, keys, shown in ((self._merges, list(cores), list(cores.values())), (self._full, [w.encode() for w in other], list(other))):
+            for at in range(0, len(keys), 4096):
+                known.update(zip(keys[at : at + 4096], self._encode(tokenizer, shown[at : at + 4096]), strict=True))
+        for w, key, tail in parts:
+            known[w] = known[key] + known[tail] if tail else known[key]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian numbers of ``kind``."""
+        listed = [(t or "").encode().split() for t in texts]
+        if len(self._known) > KNOWN_WORDS:
+            self._known = {}
+        new = {w for words in listed for w in words if w not in self._known}
         if new:
-            if len(self._known) > KNOWN_WORDS:
-                self._known = {}
-                new = list(set(words))
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for w, e in zip(part, self._tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    self._known[w] = np.array(e.ids, self.kind).tobytes()
-        return b"".join(map(self._known.__getitem__, words))
+            self._learn(new)
+        return [b"".join(map(self._known.__getitem__, words)) for words in listed]
 
 
 @lru_cache(4)
@@ -130,10 +172,10 @@ def write(df: DataFrame, folder: str, vocabulary: str, end_id: int, id: str = "d
                 path = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.arrow"
                 writer = _Writer(fs, f"{root}/{path}", enc.kind, length)
             ids.append(batch.column(0))
-            for row in range(batch.num_rows):
-                tokens = enc.encode(batch.column(1)[row].as_py()) + end
-                counts.append(len(tokens) // enc.kind.itemsize)
-                writer.add(tokens)
+            for at in range(0, batch.num_rows, ROWS):
+                for tokens in enc.encode(batch.column(1).slice(at, ROWS).to_pylist()):
+                    counts.append(len(tokens) // enc.kind.itemsize + 1)
+                    writer.add(tokens + end)
         if writer is not None:
             writer.close()
             n = np.array(counts, np.int64)
