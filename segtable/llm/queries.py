@@ -5,10 +5,10 @@ from __future__ import annotations
 import hashlib
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, fingerprints, minhash_dedup, substring_dedup, token_counts, token_files, toxicity
+from . import byte_bpe, chat_format, embedding_dedup, fingerprints, minhash_dedup, mixing, substring_dedup, token_counts, token_files, toxicity
 from .scratch import new_folder, table
 
 
@@ -52,6 +52,19 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+#: Tools that a conversation may call, with the schemas of their arguments.
+TOOLS = {
+    "search": {"type": "object", "required": ["query"], "additionalProperties": False, "properties": {"query": {"type": "string"}, "limit": {"type": "integer", "minimum": 1, "maximum": 100}}},
+    "calculate": {"type": "object", "required": ["expression"], "additionalProperties": False, "properties": {"expression": {"type": "string"}}},
+    "fetch": {"type": "object", "required": ["url"], "properties": {"url": {"type": "string"}, "headers": {"type": "object"}}},
+}
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of all conversations in topological place, as canonical JSON."""
+    return chat_format.format_chat(table(spark, sf_dir, "conversations"), TOOLS)
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness to each other and to the next document's."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -69,6 +82,25 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Production weights: by domain, and by language in every domain; sources of one language weigh the same.
+DOMAIN_WEIGHTS = (0.4, 0.3, 0.2, 0.1)
+LANGUAGE_WEIGHTS = {"en": 0.55, "de": 0.15, "es": 0.15, "fr": 0.15}
+
+
+def domain() -> Column:
+    """Sources carry no domain here: each belongs to one of as many as there are weights, by its hash."""
+    return F.concat(F.lit("domain"), F.pmod(F.crc32(F.col("source")), F.lit(len(DOMAIN_WEIGHTS))))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken for a mix of 0.8 of all tokens, four epochs at most."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    weights = {(f"domain{k}",): w for k, w in enumerate(DOMAIN_WEIGHTS)} | {(f"domain{k}", lang): w for k in range(len(DOMAIN_WEIGHTS)) for lang, w in LANGUAGE_WEIGHTS.items()}
+    levels = {"domain": domain(), "lang": F.col("lang"), "source": F.col("source")}
+    mixed = mixing.mix(docs, levels, mixing.given(weights), fraction=0.8, max_epochs=4, seed=1)
+    return mixed.select("doc_id", "lang", "source", "copies")
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: five-word shingles, similarity 0.75."""
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -94,7 +126,9 @@ def queries() -> dict:
         "op2_token_counts": op2_token_counts,
         "op3_toxicity": op3_toxicity,
         "op4_embedding_dedup": op4_embedding_dedup,
+        "op5_chat_format": op5_chat_format,
         "op6_fingerprints": op6_fingerprints,
+        "op7_mixing": op7_mixing,
         "op8_minhash_dedup": op8_minhash_dedup,
         "op9_token_files": op9_token_files,
         "op10_substring_dedup": op10_substring_dedup,
