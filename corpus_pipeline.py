@@ -1,15 +1,81 @@
-"""A corpus pipeline of five operators over ``documents``."""
+"""A corpus pipeline: ``documents`` cleaned, deduplicated, mixed and tokenised by five operators.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and
+read again as the next one's ``docs``; all but the last return the columns of docs.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from segtable.llm import byte_bpe, minhash_dedup, mixing, substring_dedup, toxicity
+from segtable.llm.scratch import bytes_of, save
+
+#: Scores from here on are toxic.
+TOXIC = 0.7
+#: Mix: nine tenths of the tokens, sources weighted by size to this power, no document twice.
+POWER, FRACTION = 0.7, 0.9
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject; it learns from the labels that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    model = toxicity.train(docs, labels)
+    return toxicity.score(docs, model).where(F.col("score") < TOXIC).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates: the one with the least id; rows that repeat whole stay once."""
+    found = minhash_dedup.near_duplicates(docs)
+    gone, path = save(found.where("not kept").select("doc_id").distinct(), "pipeline-gone")
+    small = bytes_of(spark, path) <= minhash_dedup.BROADCAST_BYTES
+    kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if not repeated.isEmpty():  # the same id more than once: texts of one id are one document
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    return kept.select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the word windows that repeat; ``n_chars`` follows the text."""
+    cut = substring_dedup.without_repeats(substring_dedup.repeated_spans(docs))
+    return cut.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a mix of sources by tempered size takes."""
+    from segtable.llm.queries import domain
+
+    levels = {"domain": domain(), "lang": F.col("lang"), "source": F.col("source")}
+    mixed = mixing.mix(docs, levels, mixing.tempered(POWER), fraction=FRACTION, max_epochs=1, seed=1)
+    return mixed.where("copies > 0").select(*docs.columns)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document by byte-level BPE, and whether they decode to its text."""
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary, public_tokenizers.PATTERN)
+    decoded = byte_bpe.decode(encoded, vocabulary, public_tokenizers.PATTERN)
+    exact = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("exact"))
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_dedup", drop_near_duplicates),
+    ("substring_dedup", cut_repeats),
+    ("mixing", mix_sources),
+    ("byte_bpe", tokenise),
+]
+#: SQL cannot express trained scores or sketches; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each read back from what the one before wrote."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs, _ = save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
