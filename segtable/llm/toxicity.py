@@ -35,7 +35,7 @@ from .arrow_columns import with_columns
 from .words import LETTERS, Words, _byte_codes, buffers, chunks, windows
 
 #: Bounds of the labelled sample, and the sizes of n-grams, table and vectors.
-MAX_TOXIC, MAX_OTHER = 2000, 4000
+MAX_TOXIC, MAX_OTHER = 1000, 2000
 SIZES, TABLE_BITS, WIDTH = (3, 4, 5), 17, 8
 STEPS, RATE, PASSED, LEFT_OUT, DECAY = 150, 0.2, 0.5, 0.6, 1e-4
 #: The first steps that trust every label, the least likelihood of a trusted one, and texts that a word's odds start from.
