@@ -66,7 +66,11 @@ class WordEncoder:
         with open(path, encoding="utf-8") as file:
             whole = json.load(file)
         self._full = Tokenizer.from_str(json.dumps(whole))
-        self._lowers = "Lowercase" in json.dumps(whole["normalizer"]) and "[\\\\p{L}]+|" in json.dumps(whole["pre_tokenizer"])
+        suffix = whole["model"].get("end_of_word_suffix")
+        self._ends = np.zeros(self._full.get_vocab_size(), bool)
+        for token, number in whole["model"]["vocab"].items():
+            self._ends[number] = bool(suffix) and token.endswith(suffix)
+        self._lowers = bool(suffix) and "Lowercase" in json.dumps(whole["normalizer"]) and "[\\\\p{L}]+|" in json.dumps(whole["pre_tokenizer"])
         self._merges = Tokenizer.from_str(json.dumps(whole | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
         self.kind = np.dtype("<u2") if self._full.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self._known: dict[bytes, bytes] = {}
@@ -75,9 +79,16 @@ class WordEncoder:
 
     def _encode(self, tokenizer, words: list[str]) -> list[bytes]:
         """The ids of each word, from one call for them all."""
-        made = tokenizer.encode_batch([words], is_pretokenized=True, add_special_tokens=False)[0]
-        ids, size = np.array(made.ids, self.kind).tobytes(), self.kind.itemsize
-        ends = np.searchsorted(np.array(made.word_ids, np.int64), np.arange(len(words)), "right") * size
+        size = self.kind.itemsize
+        if tokenizer is self._merges:  # one piece a word, so its last id is one that ends pieces
+            made = tokenizer.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0]
+            ids = np.array(made.ids, self.kind)
+            ends = (np.flatnonzero(self._ends[ids]) + 1) * size
+        else:
+            made = tokenizer.encode_batch([words], is_pretokenized=True, add_special_tokens=False)[0]
+            ids = np.array(made.ids, self.kind)
+            ends = np.searchsorted(np.array(made.word_ids, np.int64), np.arange(len(words)), "right") * size
+        ids = ids.tobytes()
         return [ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
 
     def _learn(self, words: set[bytes]) -> None:
