@@ -10,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segtable.cluster import ship
 from segtable.llm import byte_bpe, minhash_dedup, mixing, substring_dedup, toxicity
 from segtable.llm.scratch import bytes_of, save
 
@@ -21,13 +22,19 @@ POWER, FRACTION = 0.7, 0.9
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject; it learns from the labels that are not held out."""
+    ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     model = toxicity.train(docs, labels)
-    return toxicity.score(docs, model).where(F.col("score") < TOXIC).select(*docs.columns)
+    # A score follows from the text alone, so texts are known by their hash and only hashes of rejected ones move.
+    keyed = docs.select(F.xxhash64("text").alias("key"), "text")
+    gone, path = save(toxicity.score(keyed, model, without=("text",)).where(F.col("score") >= TOXIC).select("key").distinct(), "pipeline-toxic")
+    small = bytes_of(spark, path) <= minhash_dedup.BROADCAST_BYTES
+    return docs.join(F.broadcast(gone) if small else gone, F.xxhash64("text") == F.col("key"), "left_anti").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates: the one with the least id; rows that repeat whole stay once."""
+    ship(spark)
     found = minhash_dedup.near_duplicates(docs)
     gone, path = save(found.where("not kept").select("doc_id").distinct(), "pipeline-gone")
     small = bytes_of(spark, path) <= minhash_dedup.BROADCAST_BYTES
@@ -40,12 +47,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the word windows that repeat; ``n_chars`` follows the text."""
+    ship(spark)
     cut = substring_dedup.without_repeats(substring_dedup.repeated_spans(docs))
     return cut.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a mix of sources by tempered size takes."""
+    ship(spark)
     from segtable.llm.queries import domain
 
     levels = {"domain": domain(), "lang": F.col("lang"), "source": F.col("source")}
@@ -55,11 +64,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document by byte-level BPE, and whether they decode to its text."""
+    ship(spark)
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary, public_tokenizers.PATTERN)
-    decoded = byte_bpe.decode(encoded, vocabulary, public_tokenizers.PATTERN)
-    exact = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("exact"))
+    kept = docs.select("doc_id", "lang", "source", "text")
+    return byte_bpe.round_trip(kept, vocabulary, public_tokenizers.PATTERN, byte_bpe.ids_and_check, "n_tokens long, ids array<int>, exact boolean")
 
 
 STAGES = [

@@ -171,26 +171,29 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFram
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, digest, fields: str, text: str = "text") -> DataFrame:
-    """Encode and decode in one pass over each batch; ``digest(ids, decoded)`` makes the columns ``fields`` of both.
+    """Encode and decode in one pass over each batch; ``digest(ids, decoded, text)`` makes the columns ``fields`` of them.
 
-    ``ids`` is a list of ids and ``decoded`` the bytes they decode to, for one row;
-    neither leaves the worker, so nothing wider than the digests goes back to the JVM.
+    ``ids`` is a list of ids, ``decoded`` the bytes they decode to and ``text`` the
+    input, for one row. The text column goes no further than the worker.
     """
-    names = [x.split()[0] for x in fields.split(",")]
+    kinds = dict(x.split(" ", 1) for x in fields.split(", "))
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         bpe, column = load(path, pattern), batch.column(batch.schema.get_field_index(text))
-        rows, at, step = [], 0, 64
-        while at < len(column):
-            ids = bpe.encode(column.slice(at, step))
+        rows = []
+        for at in range(0, len(column), 64):
+            part = column.slice(at, 64)
+            ids = bpe.encode(part)
             flat, off = _flat(ids)
-            rows += [digest(flat[a:b], d) for a, b, d in zip(off, off[1:], bpe.decode(ids), strict=False)]
-            at += step
-        return {n: pa.array([r[k] for r in rows]) for k, n in enumerate(names)} if rows else {f.name: pa.array([], f.type) for f in _empty(fields)}
+            rows += [digest(flat[a:b], d, t) for a, b, d, t in zip(off, off[1:], bpe.decode(ids), strings(part), strict=False)]
+        return {n: pa.array([r[k] for r in rows], _ARROW[kind]) for k, (n, kind) in enumerate(kinds.items())}
 
-    return with_columns(df, fields, run)
+    return with_columns(df, fields, run, without=(text,))
 
 
-def _empty(fields: str):
-    kinds = {"long": pa.int64(), "string": pa.string()}
-    return [pa.field(n, kinds[k]) for n, k in (x.split() for x in fields.split(","))]
+def ids_and_check(ids: list[int], decoded: bytes, text: str) -> tuple[int, list[int], bool]:
+    """For :func:`round_trip`: how many ids, the ids, and whether they decode to the text."""
+    return len(ids), ids, decoded == text.encode()
+
+
+_ARROW = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}

@@ -16,13 +16,13 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round trip of every document through byte-level BPE, as digests of ids and decoded bytes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return byte_bpe.round_trip(docs, path, public_tokenizers.PATTERN, _bpe_digest, "n_tokens long, ids_sha256 string, decoded_sha256 string").drop("text")
+    return byte_bpe.round_trip(docs, path, public_tokenizers.PATTERN, _bpe_digest, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 _DECIMAL: list[str] = []
 
 
-def _bpe_digest(ids: list[int], decoded: bytes) -> tuple[int, str, str]:
+def _bpe_digest(ids: list[int], decoded: bytes, _: str) -> tuple[int, str, str]:
     while len(_DECIMAL) <= max(ids, default=0):
         _DECIMAL.append(str(len(_DECIMAL)))
     line = " ".join(map(_DECIMAL.__getitem__, ids))
@@ -32,7 +32,7 @@ def _bpe_digest(ids: list[int], decoded: bytes) -> tuple[int, str, str]:
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest-match token counts of every document by a word-end vocabulary."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.with_counts(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_tokens")
+    return token_counts.with_counts(docs, public_tokenizers.path("word_bpe_49k.json"), without=("text",))
 
 
 def _held_out():
@@ -43,7 +43,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents by a model of the labelled rows that are not held out."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(~_held_out()))
-    scored = toxicity.score(docs, model)
+    scored = toxicity.score(docs, model, without=("text",))
     return scored.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 

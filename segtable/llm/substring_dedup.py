@@ -32,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow_columns import with_columns
 from .scratch import bytes_of, save
 from .words import Words, buffers, chunks, mix, windows
 
 #: Words of a window, and the period of the cover. A period of 21 keeps 5 of 21 places.
 WINDOW, PERIOD = 35, 21
 #: Hashes a mapping task holds before it sends them.
-HELD = 1_500_000
+HELD = 1_000_000
 #: Spans written in at most so many bytes go to the rows by broadcast; more, by a join that shuffles both.
 BROADCAST_BYTES = 8 << 20
 
@@ -251,11 +252,10 @@ def digests(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
 def without_repeats(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the spans' words cut from ``text``; texts without spans stay as they are, to the byte."""
 
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        return texts.combine(spans, lambda t, s: b" ".join(kept_words(t, list(s))[1]).decode())
+    def cut(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        texts, spans = (batch.column(batch.schema.get_field_index(c)) for c in (text, "spans"))
+        made = [t.as_py() if not s.is_valid else b" ".join(kept_words(t.as_py(), s.as_py())[1]).decode() for t, s in zip(texts, spans, strict=True)]
+        return {text: pa.array(made, pa.string())}
 
     names = [c for c in df.columns if c != "spans"]
-    cleaned = F.when(F.col("spans").isNull(), F.col(text)).otherwise(F.col("__cut")).alias(text)
-    touched = df.withColumn("__cut", cut(F.when(F.col("spans").isNotNull(), F.col(text)).otherwise(F.lit("")), F.coalesce("spans", F.array().cast("array<int>"))))
-    return touched.select(*[cleaned if c == text else F.col(f"`{c}`") for c in names])
+    return with_columns(df, f"`{text}` string", cut, without=("spans",)).select(*[F.col(f"`{c}`") for c in names])

@@ -139,10 +139,10 @@ def count_tokens(column: pa.Array, matcher: LongestMatch) -> np.ndarray:
     return out
 
 
-def with_counts(df: DataFrame, path: str, text: str = "text", name: str = "n_tokens") -> DataFrame:
+def with_counts(df: DataFrame, path: str, text: str = "text", name: str = "n_tokens", without: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with the number of longest-match tokens of ``text`` by the vocabulary at ``path``."""
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         return {name: pa.array(count_tokens(batch.column(batch.schema.get_field_index(text)), automaton(path)))}
 
-    return with_columns(df, f"`{name}` long", run)
+    return with_columns(df, f"`{name}` long", run, without)

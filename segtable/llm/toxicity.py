@@ -183,11 +183,11 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     return fit(rows[text].combine_chunks() if rows.num_rows else pa.array([], pa.string()), rows["__label"].to_numpy().astype(np.int64))
 
 
-def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``df`` with ``score``, the chance from 0 to 1 that the text is toxic."""
+def score(df: DataFrame, model: Model, text: str = "text", without: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``score``, the chance from 0 to 1 that the text is toxic; columns ``without`` are left out."""
     weight, bias = model.weight.astype(np.float32), model.bias
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         return {"score": pa.array(Model(weight, bias).scores(batch.column(batch.schema.get_field_index(text))))}
 
-    return with_columns(df, "score double", run)
+    return with_columns(df, "score double", run, without)
