@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..errors import InvalidArgument
 
-#: Leading bits of each column's code that take part.
+#: Bits of a code.
 CODE_BITS = 64
 
 
@@ -17,14 +17,13 @@ def orderable(kind: T.DataType) -> bool:
 
 
 def code(c: Column, kind: T.DataType) -> Column:
-    """Sixty-four bits as a string of 0 and 1 whose order is the value's; nulls first."""
+    """A long whose order as 64 unsigned bits is the value's; a null comes first."""
     if isinstance(kind, (T.StringType, T.BinaryType)):
         raw = F.rpad(F.hex(F.substring(c.cast("binary"), 1, CODE_BITS // 8)), CODE_BITS // 4, "0")
-        bits = F.lpad(F.conv(raw, 16, 2), CODE_BITS, "0")
+        half = lambda at: F.conv(F.substring(raw, at, CODE_BITS // 8), 16, 10).cast("long")
+        bits = F.shiftleft(half(1), 32).bitwiseOR(half(CODE_BITS // 8 + 1))
     elif isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
-        # IEEE bits of the value, negative ones flipped; -0.0 is folded to 0.0 first.
-        packed = F.hex(_double_bits(c.cast("double") + F.lit(0.0)))
-        bits = F.lpad(F.conv(packed, 16, 2), CODE_BITS, "0")
+        bits = _double_bits(c.cast("double") + F.lit(0.0))  # -0.0 is folded to 0.0
     else:
         if isinstance(kind, T.DateType):
             number = F.unix_date(c).cast("long")
@@ -32,26 +31,36 @@ def code(c: Column, kind: T.DataType) -> Column:
             number = F.unix_micros(c.cast("timestamp"))
         else:
             number = c.cast("int").cast("long") if isinstance(kind, T.BooleanType) else c.cast("long")
-        bits = F.lpad(F.bin(number.bitwiseXOR(F.lit(-(1 << 63)))), CODE_BITS, "0")
-    return F.coalesce(bits, F.lit("0" * CODE_BITS))
+        bits = number.bitwiseXOR(F.lit(-(1 << 63)))
+    return F.when(c.isNull(), F.lit(0).cast("long")).otherwise(bits)
 
 
 def _double_bits(x: Column) -> Column:
-    """A long in the order of doubles: exponent and mantissa by arithmetic, as Spark has no bit cast."""
+    """A long in the order of doubles, above 0: exponent and mantissa by arithmetic, as Spark has no bit cast."""
     size = F.abs(x)
     exponent = F.when(size > 0, F.greatest(F.floor(F.log2(size)), F.lit(-1022))).otherwise(F.lit(-1023)).cast("long")
     share = F.when(size > 0, size / F.pow(F.lit(2.0), exponent.cast("double"))).otherwise(F.lit(1.0))
-    rank = (exponent + 1024) * F.lit(1 << 51) + F.least(F.greatest(share - 1, F.lit(0.0)), F.lit(0.9999999)) * F.lit(float(1 << 51))
-    rank = F.when(F.isnan(x) | (size == float("inf")), F.lit((1 << 62) + (1 << 61))).otherwise(rank.cast("long"))
+    rank = (exponent + 1024) * F.lit(1 << 50) + (F.least(F.greatest(share - 1, F.lit(0.0)), F.lit(0.9999999)) * F.lit(float(1 << 50))).cast("long")
+    rank = F.when(F.isnan(x) | (size == float("inf")), F.lit(1 << 61)).otherwise(rank)
     return F.when(x < 0, F.lit(1 << 62) - rank).otherwise(F.lit(1 << 62) + rank)
 
 
-def zorder(columns: list[tuple[Column, T.DataType]]) -> Column:
-    """The interleaved code of several columns; of one column, its code."""
-    if not columns:
+def zorder(codes: list[Column]) -> list[Column]:
+    """Interleaved codes as a few longs to order by, most significant first; of one code, its halves.
+
+    Every bit is placed by arithmetic that compiles into the scan's own loop. A word has
+    63 bits at most, so its order needs no care for the sign.
+    """
+    if not codes:
         raise InvalidArgument("no column to order by")
-    codes = [code(c, kind) for c, kind in columns]
-    if len(codes) == 1:
-        return codes[0]
-    bits = lambda i: F.concat(*[F.substring(c, i, F.lit(1)) for c in codes])
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(CODE_BITS)), bits), "")
+    each = (CODE_BITS - 1) // len(codes)
+    words = []
+    for top in range(CODE_BITS - 1, -1, -each):
+        word, places = F.lit(0).cast("long"), range(top, max(top - each, -1), -1)
+        shift = len(places) * len(codes)
+        for bit in places:
+            for c in codes:
+                shift -= 1
+                word = word.bitwiseOR(F.shiftleft(F.shiftrightunsigned(c, bit).bitwiseAND(F.lit(1).cast("long")), shift))
+        words.append(word)
+    return words

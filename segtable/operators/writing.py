@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import WriterLocked
-from ..functions.order_key import zorder
+from ..functions.order_key import code, zorder
 from ..sources import log
 from ..sources.log import Snapshot
 from ..sources.table import ManagedTable
 
+#: Keys that a layout samples to cut equal segments: all of them in a small table, some hundreds a segment in a large one.
+SAMPLES, LEAST_SAMPLES = 200_000, 200
+_SAMPLE_CONF = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
 #: Times a write starts afresh after another writer was first.
 ATTEMPTS = 20
 
@@ -69,8 +72,10 @@ def laid_out(table: ManagedTable, rows: DataFrame, total: int, keep_order: list[
     names = snapshot.schema.physical().fieldNames()
     if table.options.cluster_by:
         fields = [snapshot.schema.find(c) for c in table.options.cluster_by]
-        keyed = rows.withColumn("__order", zorder([(F.col(f.physical), f.field.dataType) for f in fields]))
-        order = ["__order"]
+        coded = rows.withColumns({f"__code{k}": code(F.col(f.physical), f.field.dataType) for k, f in enumerate(fields)})
+        words = zorder([F.col(f"__code{k}") for k in range(len(fields))])
+        keyed = coded.withColumns({f"__order{k}": w for k, w in enumerate(words)})
+        order = [f"__order{k}" for k in range(len(words))]
     else:
         keyed, order = rows, keep_order
     if parts == 1:
@@ -87,7 +92,13 @@ def rewrite(table: ManagedTable, base: Snapshot, chosen: list, schema=None, conv
     laid = laid_out(table, live, total, ["file", "row_index"], base)
     if convert is not None:
         laid = convert(laid)
-    at, n, _, _ = table.write_files(laid, False, table.options, schema or base.schema)
+    conf, parts = table.spark.conf, -(-total // table.options.group_rows(total))
+    before = conf.get(_SAMPLE_CONF)
+    conf.set(_SAMPLE_CONF, str(max(LEAST_SAMPLES, SAMPLES // parts)))
+    try:
+        at, n, _, _ = table.write_files(laid, False, table.options, schema or base.schema)
+    finally:
+        conf.set(_SAMPLE_CONF, before)
     return at, n
 
 
