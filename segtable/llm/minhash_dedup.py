@@ -205,5 +205,5 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", thres
         found = connected_components(links.unionByName(more))
 
     out = classed.select("id", "n", "class").join(found.select(F.col("id").alias("class"), "component"), "class", "left")
-    component = F.coalesce("component", "class", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "class", "id"))
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -110,20 +110,22 @@ def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> Model:
         before = len(known)
         number = np.array([known.setdefault(h, len(known)) for h in hash_.tolist()], np.int64)
         take = (number >= before)[owner]
-        owners.append(number[owner[take]])
+        owners.append(number[owner[take]].astype(np.int32))
         rows.append(row[take])
-        lists.append((number[which], np.diff(first)))
+        lists.append((number[which].astype(np.int32), np.diff(first)))
     owner, row = np.concatenate(owners), np.concatenate(rows)
     order = np.argsort(owner, kind="stable")
     owner, row = owner[order], row[order]
+    del order, owners, rows
     bag = np.searchsorted(owner, np.arange(len(known) + 1))
     word = np.concatenate([w for w, _ in lists])
     first = np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in lists]))])
+    del lists
     has = np.flatnonzero(np.diff(first))
-    text = np.repeat(np.arange(len(toxic)), np.diff(first))
+    text = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(first))
 
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.1, (1 << TABLE_BITS, WIDTH))
+    table = rng.normal(0, 0.1, (1 << TABLE_BITS, WIDTH)).astype(np.float32)
     soft = rng.normal(0, 0.1, (WIDTH, 2))
     bias = np.array([0.0, prior])
     past = [np.full_like(x, 1e-6) for x in (table, soft, bias)]
@@ -131,19 +133,20 @@ def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> Model:
     truth = np.stack([1 - toxic, toxic], 1).astype(float)
 
     # Start from words' own log odds over texts, so that the first highest words are not drawn by lot.
-    pair = np.unique(text * np.int64(len(known)) + word)
+    pair = np.unique(text.astype(np.int64) * len(known) + word)
     held, odds = pair % len(known), toxic[pair // len(known)]
     shown, bad = np.bincount(held, minlength=len(known)), np.bincount(held, odds, len(known))
     start = np.log((bad + SMOOTH * share) / (shown - bad + SMOOTH * (1 - share))) - prior
-    first_weight = np.bincount(row, (start[owner]), 1 << TABLE_BITS) / np.maximum(np.bincount(row, minlength=1 << TABLE_BITS), 1)
+    first_weight = np.bincount(row, start[owner], 1 << TABLE_BITS) / np.maximum(np.bincount(row, minlength=1 << TABLE_BITS), 1)
+    del pair, held, odds
     table += first_weight[:, None] * ((soft[:, 1] - soft[:, 0]) / np.sum((soft[:, 1] - soft[:, 0]) ** 2))[None, :]
 
     for step in range(STEPS):
-        weight = table @ (soft[:, 1] - soft[:, 0])
+        weight = (table @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
         value = np.add.reduceat(weight[row], bag[:-1]) / count
-        seen = np.where(rng.random(len(word)) < PASSED, -np.inf, value[word])
+        seen = np.where(rng.random(len(word), np.float32) < PASSED, np.float32(-np.inf), value[word].astype(np.float32))
         top = np.full(len(toxic), -1, np.int64)
-        best = _highest(seen, first, -np.inf)
+        best = _highest(seen, first, -np.inf).astype(np.float32)
         at = np.flatnonzero(seen == best[text])
         top[text[at[::-1]]] = word[at[::-1]]  # ties: the earliest word
         bags_of = top[has]
