@@ -26,6 +26,8 @@ from .log import Snapshot, Storage
 
 #: Longest text or bytes kept as a bound; of longer ones the least is cut and the greatest unknown.
 BOUND_LENGTH = 64
+#: An index of at most so many bytes of Parquet is held by the driver, for as many snapshots.
+SMALL_INDEX, KEPT_INDEXES = 4 << 20, 4
 #: Delete vectors of at most so many rows are broadcast to a scan; beyond, both sides are shuffled.
 BROADCAST_DELETES = 2_000_000
 INDEX_BASE = (("segment", T.StringType()), ("path", T.StringType()), ("rows", T.LongType()), ("bytes", T.LongType()), ("staged", T.BooleanType()))
@@ -65,6 +67,7 @@ class ManagedTable:
     def __init__(self, spark: SparkSession, path: str, options: TableOptions | None):
         self.spark, self.storage = spark, Storage(spark, path)
         self._options = options
+        self._indexes: dict[tuple, DataFrame] = {}
         self.name: str | None = None  # what predicates may qualify columns with
 
     # --- opening ---
@@ -120,7 +123,15 @@ class ManagedTable:
         schema = index_schema(snapshot.schema)
         if not snapshot.index:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[self.storage.path(p) for p in snapshot.index])
+        key = (snapshot.index, tuple(schema.fieldNames()))
+        if key not in self._indexes:
+            whole = self.spark.read.schema(schema).parquet(*[self.storage.path(p) for p in snapshot.index])
+            small = sum(sum(self.storage.sizes(p).values()) for p in snapshot.index) <= SMALL_INDEX
+            # A small index becomes a local relation: the optimizer filters it without a job. Commits never change, so it stays right.
+            while len(self._indexes) >= KEPT_INDEXES:
+                self._indexes.pop(next(iter(self._indexes)))
+            self._indexes[key] = self.spark.createDataFrame(whole.toArrow(), schema) if small else whole
+        return self._indexes[key]
 
     def files(self, paths: list[str], schema: TableSchema) -> DataFrame:
         """Physical rows of data files."""
