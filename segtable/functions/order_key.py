@@ -13,6 +13,9 @@ CODE_BITS = 64
 
 
 def orderable(kind: T.DataType) -> bool:
+    """Whether a column has an order that bounds and codes can follow; texts only in byte order."""
+    if isinstance(kind, T.StringType) and not kind.isUTF8BinaryCollation():
+        return False
     return isinstance(kind, (T.BooleanType, T.IntegralType, T.FractionalType, T.StringType, T.BinaryType, T.DateType, T.TimestampType, T.TimestampNTZType))
 
 

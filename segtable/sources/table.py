@@ -250,7 +250,11 @@ class ManagedTable:
         return at, self.spark.read.parquet(self.storage.path(at)).count()
 
     def vacuum(self, keep: int = 1) -> int:
-        """Remove what the newest ``keep`` commits do not refer to; older snapshots stop being readable. Returns folders removed."""
+        """Remove what the newest ``keep`` commits do not refer to; returns folders removed.
+
+        Older snapshots stop being readable, and so does what a writer has written but not
+        committed yet: run it while nobody writes.
+        """
         self.writable()
         txns = log.commits(self.storage)
         kept = [log.at(self.storage, t) for t in txns[-keep:]]

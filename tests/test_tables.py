@@ -299,3 +299,55 @@ def test_aliases(spark):
     Engine(spark)
     assert spark.sql("select strpos('abc', 'c')").first()[0] == 3
     assert str(spark.sql("select date_bin(interval '15' minute, timestamp'2020-01-01 00:37:00', timestamp'2020-01-01 00:00:00')").first()[0]) == "2020-01-01 00:30:00"
+
+
+def test_random_operations_against_a_model(spark, tmp_path):
+    import random
+
+    rng, model = random.Random(11), set()
+    table = ManagedTable.create(spark, str(tmp_path / "m"), scan_schema(), TableOptions(row_group_rows=40, min_row_group_rows=8, bloom_columns=("id",)))
+    following = 0
+    for _ in range(18):
+        step = rng.choice(["insert", "insert", "delete", "delete", "flush", "reopen", "compact"])
+        if step == "insert":
+            n = rng.randint(1, 40)
+            insert(table, rows(spark, following, following + n).coalesce(1))
+            model |= set(range(following, following + n))
+            following += n
+        elif step == "delete":
+            a = rng.randint(0, max(following, 1))
+            gone = {i for i in model if a <= i < a + 9}
+            assert dml.delete(table, f"id >= {a} and id < {a + 9}") == len(gone)
+            model -= gone
+        elif step == "flush":
+            flush(table)
+        elif step == "compact":
+            maintenance.compact(table, 0.3)
+        else:
+            table = ManagedTable.open(spark, table.storage.root)
+        assert table.row_count() == len(model)
+    assert ids(table.scan()) == sorted(model)
+
+
+def test_a_writer_that_dies_before_its_commit_changes_nothing(spark, tmp_path, monkeypatch):
+    _, table = made(spark, tmp_path / "t", 1)
+
+    def dies(*a, **k):
+        raise RuntimeError("gone")
+
+    for change in (lambda: insert(table, rows(spark, 100, 120)), lambda: dml.delete(table, "id < 50"), lambda: dml.update(table, {"score": "1"}), lambda: maintenance.rewrite_all(table), lambda: maintenance.cast_column(table, "score", "long")):
+        with monkeypatch.context() as m:
+            m.setattr(log, "commit", dies)
+            with pytest.raises(RuntimeError):
+                change()
+        assert ids(table.scan()) == list(range(100)) and dict(table.scan().dtypes)["score"] == "int"
+    table.vacuum()
+    assert ids(table.scan()) == list(range(100))
+
+
+def test_collated_texts_are_not_pruned_by_order(spark, tmp_path):
+    df = spark.sql("select cast('A' as string collate utf8_lcase) s union all select cast('b' as string collate utf8_lcase)")
+    table = ManagedTable.create(spark, str(tmp_path / "c"), df.schema)
+    insert(table, df)
+    flush(table)
+    assert table.scan("s = 'a'").count() == 1 and table.scan("s = 'B'").count() == 1
