@@ -1,15 +1,14 @@
-"""Toxicity by subword-bag embeddings under a linear softmax, trained jointly in numpy.
+"""Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams (lengths 3 to 5 with marked ends), hashed
-to rows of one embedding table. The average of a bag's vectors goes through a linear
-softmax of two classes. A text is as toxic as its most toxic word, so a single word
-counts the same in a short and in a very long text. Table and softmax are trained
-together on whole labelled texts: the gradient of a text reaches the bag of its
-highest word. In each step some words of a text are passed over, so that not only its
-strongest word is learned, and up to ``LEFT_OUT`` of a bag's n-grams are taken as
-foreign, so that unseen misspellings, which share the rest, still score high.
-Labels are noisy: after the first steps, texts whose label the model finds less
-likely than ``TRUST`` no longer pull at it, so it does not learn such texts by heart.
+to rows of one embedding table. The vectors of a bag are averaged, and so are the bags
+of a text's strongest words, a hundredth of all its words and one at least; the average
+goes through a linear softmax of two classes. So one word decides a short text, and a
+long text needs as many as its length lets expect, whatever else it holds. Table and
+softmax are trained together on whole labelled texts. In each step some words are
+passed over, so that not only the strongest are learned, and up to ``LEFT_OUT`` of a
+bag's n-grams are taken as foreign, so that unseen misspellings and endings, which
+share the rest, still score high.
 
 Training takes at most ``MAX_TOXIC`` toxic and ``MAX_OTHER`` other labelled texts,
 those with the least hash of their id, whole; scoring covers every text whole. For
@@ -37,9 +36,9 @@ from .words import LETTERS, Words, _byte_codes, buffers, chunks, windows
 #: Bounds of the labelled sample, and the sizes of n-grams, table and vectors.
 MAX_TOXIC, MAX_OTHER = 1000, 2000
 SIZES, TABLE_BITS, WIDTH = (3, 4, 5), 17, 8
-STEPS, RATE, PASSED, LEFT_OUT, DECAY = 150, 0.2, 0.5, 0.6, 1e-4
-#: The first steps that trust every label, the least likelihood of a trusted one, and texts that a word's odds start from.
-WARM, TRUST, SMOOTH = 2, 0.4, 8
+STEPS, RATE, PASSED, LEFT_OUT, DECAY = 150, 0.2, 0.3, 0.5, 1e-4
+#: Words of a text for each of its strongest that count, steps until the strongest are looked up anew, and texts that a word's odds start from.
+PER_WORD, REFRESH, SMOOTH = 100, 10, 4
 
 
 def bags(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,18 +71,21 @@ def text_words(column: pa.Array):
         yield a, b, hash_, bags(words.data, words.start[one], words.end[one]), words.first, which
 
 
-def _highest(values: np.ndarray, first: np.ndarray, floor: float) -> np.ndarray:
-    """The greatest of ``values`` in each range of ``first``, ``floor`` where it is empty."""
-    out = np.full(len(first) - 1, floor)
-    full = np.flatnonzero(np.diff(first))
-    if len(full):
-        out[full] = np.maximum.reduceat(values, first[:-1][full])
-    return out
+def _ranks(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``values`` ordered within each range of ``first``, greatest first and ties as they stand, and their ranks."""
+    text = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
+    order = np.lexsort((-values, text))
+    return order, np.arange(len(order)) - np.repeat(first[:-1], np.diff(first))
+
+
+def _strongest(first: np.ndarray) -> np.ndarray:
+    """How many words of each text count."""
+    return -(-np.diff(first) // PER_WORD)
 
 
 @dataclass
 class Model:
-    """``weight`` of each n-gram and ``bias``: log odds of a word are the bias and its n-grams' mean weight."""
+    """``weight`` of each n-gram and ``bias``: log odds of a text are the bias and the mean of its strongest words' mean weights."""
 
     weight: np.ndarray
     bias: float
@@ -92,8 +94,12 @@ class Model:
         out = np.empty(len(column))
         for a, b, hash_, (owner, row), first, which in text_words(column):
             count = np.maximum(np.bincount(owner, minlength=len(hash_)), 1)
-            value = np.bincount(owner, self.weight[row], len(hash_)) / count
-            out[a:b] = _highest(value[which], first, 0.0)
+            value = (np.bincount(owner, self.weight[row], len(hash_)) / count)[which]
+            order, rank = _ranks(value, first)
+            need = _strongest(first)
+            text = np.repeat(np.arange(b - a), np.diff(first))
+            top = rank < need[text]
+            out[a:b] = np.bincount(text[top], value[order[top]], b - a) / np.maximum(need, 1)
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -40, 40)))
 
 
@@ -121,8 +127,8 @@ def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> Model:
     word = np.concatenate([w for w, _ in lists])
     first = np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in lists]))])
     del lists
-    has = np.flatnonzero(np.diff(first))
     text = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(first))
+    need = _strongest(first)
 
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (1 << TABLE_BITS, WIDTH)).astype(np.float32)
@@ -142,30 +148,38 @@ def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> Model:
     table += first_weight[:, None] * ((soft[:, 1] - soft[:, 0]) / np.sum((soft[:, 1] - soft[:, 0]) ** 2))[None, :]
 
     for step in range(STEPS):
-        weight = (table @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
-        value = np.add.reduceat(weight[row], bag[:-1]) / count
-        seen = np.where(rng.random(len(word), np.float32) < PASSED, np.float32(-np.inf), value[word].astype(np.float32))
-        top = np.full(len(toxic), -1, np.int64)
-        best = _highest(seen, first, -np.inf).astype(np.float32)
-        at = np.flatnonzero(seen == best[text])
-        top[text[at[::-1]]] = word[at[::-1]]  # ties: the earliest word
-        bags_of = top[has]
-        size = count[bags_of]
-        place = np.repeat(bag[bags_of] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        of = np.repeat(np.arange(len(has)), size)
-        stay = rng.random(len(place)) >= (LEFT_OUT * rng.random(len(has)))[of]
-        place, of = place[stay], of[stay]
-        mean = np.zeros((len(has), WIDTH))
-        np.add.at(mean, of, table[row[place]])
-        mean /= size[:, None]
+        if step % REFRESH == 0:  # candidates: some more than the words that count
+            weight = (table @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
+            value = (np.add.reduceat(weight[row], bag[:-1]) / count).astype(np.float32)
+            order, rank = _ranks(value[word], first)
+            near = rank < (3 * need + 5)[text]
+            words, texts_of = word[order[near]], text[near]
+            own, which = np.unique(words, return_inverse=True)
+            size = count[own]
+            place = np.repeat(bag[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            rows_of, ends = row[place], np.concatenate([[0], np.cumsum(size)])
+            firsts = np.searchsorted(texts_of, np.arange(len(toxic) + 1))
+        weight = table @ (soft[:, 1] - soft[:, 0])
+        value = np.add.reduceat(weight[rows_of], ends[:-1]) / size
+        seen = np.where(rng.random(len(words)) < PASSED, -np.inf, value[which])
+        order, rank = _ranks(seen, firsts)
+        take = (rank < need[texts_of]) & np.isfinite(seen[order])
+        chosen, of_text = which[order[take]], texts_of[take]
+        n = size[chosen]
+        at = np.repeat(ends[chosen] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        of_word = np.repeat(np.arange(len(chosen)), n)
+        stay = rng.random(len(at)) >= (LEFT_OUT * rng.random(len(chosen)))[of_word]
+        at, of_word = rows_of[at[stay]], of_word[stay]
+        share_of = 1 / (n * need[of_text])  # of an n-gram in its text's average
+        mean = np.zeros((len(toxic), WIDTH))
+        for d in range(WIDTH):
+            mean[:, d] = np.bincount(of_text[of_word], table[at, d] * share_of[of_word], len(toxic))
         logit = mean @ soft + bias
         p = np.exp(logit - logit.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        error = (p - truth[has]) / len(has)
-        if step >= WARM:
-            error[(p * truth[has]).sum(1) < TRUST] = 0
-        grow = np.zeros_like(table)
-        np.add.at(grow, row[place], (error @ soft.T / size[:, None])[of])
+        error = (p - truth) / len(toxic)
+        back = error @ soft.T
+        grow = np.stack([np.bincount(at, back[of_text[of_word], d] * share_of[of_word], 1 << TABLE_BITS) for d in range(WIDTH)], 1)
         for x, g, square in zip((table, soft, bias), (grow, mean.T @ error, error.sum(0)), past, strict=True):
             square += g * g
             x -= RATE * g / np.sqrt(square) * (g != 0)
