@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -48,7 +50,8 @@ class Engine:
         if kind in ("DeleteFromTable", "UpdateTable", "InsertIntoStatement"):
             table = self._target(plan.table())
             if table is not None:
-                return self._counted(getattr(self, f"_{kind}")(plan, table))
+                self._views({n: None for n in self._tables if n in text.lower()})  # for queries within the statement
+                return self._counted(getattr(self, f"_{kind}")(plan, table, where_text(text)))
         return self._select(text)
 
     def explain(self, text: str) -> dict[str, ScanPlan]:
@@ -65,21 +68,17 @@ class Engine:
     def _counted(self, n: int) -> DataFrame:
         return self.spark.createDataFrame([(n,)], "count long")
 
-    def _DeleteFromTable(self, plan, table: ManagedTable) -> int:
-        condition = self._predicate(plan.condition())
-        return dml.delete(table, condition)
+    def _DeleteFromTable(self, plan, table: ManagedTable, where: str | None) -> int:
+        return dml.delete(table, where)
 
-    def _UpdateTable(self, plan, table: ManagedTable) -> int:
+    def _UpdateTable(self, plan, table: ManagedTable, where: str | None) -> int:
         seq = plan.assignments()
         pairs = [(seq.apply(k).key(), seq.apply(k).value()) for k in range(seq.size())]
-        condition = plan.condition()
-        where = self._predicate(condition.get()) if condition.isDefined() else None
         return dml.update(table, {k.nameParts().last(): v.sql() for k, v in pairs}, where)
 
-    def _InsertIntoStatement(self, plan, table: ManagedTable) -> int:
+    def _InsertIntoStatement(self, plan, table: ManagedTable, _: str | None) -> int:
         if plan.overwrite() or plan.ifPartitionNotExists():
             raise Unsupported("INSERT OVERWRITE is not carried out on managed tables")
-        self._views({n: None for n in self._tables})
         rows = self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.spark._jsparkSession, plan.query())
         rows = DataFrame(rows, self.spark)
         schema = table.snapshot().schema
@@ -93,14 +92,13 @@ class Engine:
         columns = [f"CAST({place[f.name] if f.name in place else 'NULL'} AS {f.field.dataType.simpleString()}) AS `{f.name}`" for f in schema.fields]
         return writing.insert(table, rows.selectExpr(*columns))
 
-    def _predicate(self, condition) -> str | None:
-        text = condition.sql()
-        return None if text.lower() == "true" else text
-
     def _views(self, filters: dict[str, list[list] | None], snapshots: dict | None = None, counted: bool = False) -> None:
         for name, wanted in filters.items():
             table = self._tables[name]
             snapshot = (snapshots or {}).get(name) or table.snapshot()
+            if not wanted and not counted:
+                table.whole(snapshot).createOrReplaceTempView(name)
+                continue
             chosen, self.plans[name] = table.choose(snapshot, wanted, counted)
             snapshot.schema.named(table.rows(chosen, snapshot)).createOrReplaceTempView(name)
 
@@ -109,10 +107,11 @@ class Engine:
         lowered = text.lower()
         named = {n: t for n, t in self._tables.items() if n in lowered}
         snapshots, marks = {}, {}
+        filtered = re.search(r"\b(where|on|using|having|filter|intersect|except)\b", lowered)  # else nothing can be skipped
         self.plans = {}
         for name, table in named.items():
             snapshots[name] = table.snapshot()
-            probe = table.probe(snapshots[name])
+            probe = table.probe(snapshots[name]) if counted or filtered else None
             if probe is None:
                 self._views({name: None}, snapshots)
             else:
@@ -123,3 +122,27 @@ class Engine:
             found = {name: scan_filters(plan, mark) for name, mark in marks.items()}
             self._views(found, snapshots, counted)
         return self.spark.sql(text)
+
+
+def where_text(statement: str) -> str | None:
+    """What follows the WHERE of a DELETE or UPDATE, outside of quotes and brackets; None without one."""
+    text, depth, quote, at = statement.rstrip().rstrip(";"), 0, "", 0
+    while at < len(text):
+        c = text[at]
+        if quote:
+            at += c == "\\" and quote != "`"
+            quote = "" if c == quote else quote
+        elif c in "'\"`":
+            quote = c
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif depth == 0 and text[at : at + 5].lower() == "where" and _edge(text, at):
+            return text[at + 5 :].strip()
+        at += 1
+    return None
+
+
+def _edge(text: str, at: int) -> bool:
+    """Whether the five letters at ``at`` are a word of their own."""
+    inside = lambda c: c.isalnum() or c == "_"
+    return not (at and inside(text[at - 1])) and not (at + 5 < len(text) and inside(text[at + 5]))

@@ -25,7 +25,7 @@ OPTIONS = {
     "orders": TableOptions(bloom_columns=("o_custkey",)),
     "part": TableOptions(trigram_columns=("p_name",)),
     "documents": TableOptions(trigram_columns=("text",)),
-    "lineitem": TableOptions(page_rows=2048),
+    "lineitem": TableOptions(page_rows=2048, cluster_by=("l_orderkey",)),
 }
 _standing: dict[tuple[str, str, str], ManagedTable] = {}
 _engines: dict[str, Engine] = {}
@@ -233,6 +233,16 @@ def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.scan().groupBy("event_type").count().withColumnRenamed("count", "n")
 
 
+def prune_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many segments each predicate leaves to read and skips, as the scan's plan shows it."""
+    asked = [
+        ("lineitem", "l_orderkey BETWEEN 1000 AND 1200"), ("lineitem", "l_quantity > 0"), ("lineitem", "l_orderkey < 0"), ("orders", "o_custkey = 37"),
+        ("orders", "o_orderkey IN (1, 2)"), ("documents", "text LIKE '%no such words%'"), ("part", "p_name LIKE '%zzz%'"),
+    ]
+    plans = [(name, where, standing(spark, sf_dir, name).explain(where)) for name, where in asked]
+    return spark.createDataFrame([(n, w, p.segments, p.pruned) for n, w, p in plans], "table_name string, predicate string, segments long, pruned long")
+
+
 def _file_source(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = parquet(spark, sf_dir, "customer")
@@ -269,6 +279,8 @@ CHANGES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "drop_column": (_maintained("supplier", lambda t: maintenance.drop_column(t, "s_acctbal"), "SELECT * FROM supplier"), "SELECT s_suppkey, s_name, s_nationkey FROM supplier"),
     "cast_column_widen": (_maintained("supplier", lambda t: maintenance.cast_column(t, "s_nationkey", "long"), "SELECT s_suppkey, s_nationkey FROM supplier"), "SELECT s_suppkey, CAST(s_nationkey AS BIGINT) AS s_nationkey FROM supplier"),
     "snapshot_isolation": (snapshot_isolation, "SELECT count(*) AS n, min(o_orderkey) AS low FROM orders"),
+    "delete_in_subquery": (_changed("orders", "DELETE FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)", select="SELECT o_orderkey FROM orders"), "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)"),
+    "prune_report": (prune_report, None),
     "stream_append": (stream_append, "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"),
 }
 

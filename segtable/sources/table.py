@@ -11,6 +11,7 @@ import time
 import uuid
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +69,7 @@ class ManagedTable:
         self.spark, self.storage = spark, Storage(spark, path)
         self._options = options
         self._indexes: dict[tuple, DataFrame] = {}
+        self._plans: dict[tuple, DataFrame] = {}
         self.name: str | None = None  # what predicates may qualify columns with
 
     # --- opening ---
@@ -130,9 +132,15 @@ class ManagedTable:
             # A small index becomes a local relation: the optimizer filters it without a job. Commits never change, so it stays right.
             while len(self._indexes) >= KEPT_INDEXES:
                 self._indexes.pop(next(iter(self._indexes)))
-            self._indexes[key] = self.spark.createDataFrame(whole.toArrow(), schema) if small else whole
+            self._indexes[key] = self._held(whole.toArrow(), schema) if small else whole
         return self._indexes[key]
 
+    def _held(self, rows: pa.Table, schema: T.StructType) -> DataFrame:
+        """A small index without the statistics that none of its segments has: a verdict need not ask for them."""
+        base = {n for n, _ in INDEX_BASE}
+        kept = [f for f in schema.fields if f.name in base or rows[f.name].null_count < rows.num_rows]
+        return self.spark.createDataFrame(rows.select([f.name for f in kept]), T.StructType(kept))
+
     def files(self, paths: list[str], schema: TableSchema) -> DataFrame:
         """Physical rows of data files."""
         if not paths:
@@ -169,7 +177,19 @@ class ManagedTable:
         """The table as one plain scan, for Catalyst to push filters to; None for a table without segments."""
         if not snapshot.index:
             return None
-        return snapshot.schema.named(self.spark.read.schema(snapshot.schema.physical()).parquet(self.storage.path(snapshot.index[0])))
+        return self._once(("probe", snapshot.txn), lambda: snapshot.schema.named(self.spark.read.schema(snapshot.schema.physical()).parquet(self.storage.path(snapshot.index[0]))))
+
+    def whole(self, snapshot: Snapshot) -> DataFrame:
+        """All live rows, for queries without a filter."""
+        return self._once(("whole", snapshot.txn), lambda: snapshot.schema.named(self.rows(self.choose(snapshot, None)[0], snapshot)))
+
+    def _once(self, key: tuple, make) -> DataFrame:
+        """A plan over a snapshot, made once: files never change."""
+        if key not in self._plans:
+            while len(self._plans) >= 2 * KEPT_INDEXES:
+                self._plans.pop(next(iter(self._plans)))
+            self._plans[key] = make()
+        return self._plans[key]
 
     def choose(self, snapshot: Snapshot, filters: list[list] | None, counted: bool = False) -> tuple[list, ScanPlan]:
         """The segments that a query with these pushed filters may need; ``counted`` asks for how many there are besides."""

@@ -351,3 +351,12 @@ def test_collated_texts_are_not_pruned_by_order(spark, tmp_path):
     insert(table, df)
     flush(table)
     assert table.scan("s = 'a'").count() == 1 and table.scan("s = 'B'").count() == 1
+
+
+def test_where_of_statements():
+    from segtable.engine import where_text
+
+    assert where_text("DELETE FROM t WHERE a = 'where (' AND b IN (SELECT x FROM u WHERE y)") == "a = 'where (' AND b IN (SELECT x FROM u WHERE y)"
+    assert where_text("UPDATE t SET a = (SELECT max(b) FROM u WHERE c), elsewhere = 1\nwhere d = 2;") == "d = 2"
+    assert where_text("DELETE FROM nowhere") is None
+    assert where_text(r"DELETE FROM t WHERE s = 'it\'s where'") == r"s = 'it\'s where'"
