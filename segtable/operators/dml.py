@@ -75,25 +75,47 @@ def update(table: ManagedTable, assignments: dict[str, str | Column], where: str
     return counted[0]
 
 
+def _new_deletes(table: ManagedTable, base: Snapshot, positions: DataFrame) -> tuple[str, int]:
+    """A delete vector of those positions that exist and live; an unknown segment is an error."""
+    wanted = positions.select("segment", "row_index").distinct()
+    index = table.index(base).select("segment", "rows")
+    if not wanted.join(index, "segment", "left_anti").isEmpty():
+        raise SchemaMismatch("unknown segment")
+    new = wanted.join(index, "segment").where("row_index >= 0 and row_index < rows")
+    if base.deletes:
+        new = new.join(table.delete_vectors(base), ["segment", "row_index"], "left_anti")
+    return table.write_deletes(new)
+
+
 def delete_positions(table: ManagedTable, positions: DataFrame) -> int:
-    """Delete rows by (segment, row_index). Positions past the end or deleted already do nothing; an unknown segment is an error."""
+    """Delete rows by (segment, row_index). Positions past the end or deleted already do nothing."""
     counted = [0]
 
     def attempt(base: Snapshot) -> dict | None:
-        wanted = positions.select("segment", "row_index").distinct()
-        index = table.index(base).select("segment", "rows")
-        if not wanted.join(index, "segment", "left_anti").isEmpty():
-            raise SchemaMismatch("unknown segment")
-        new = wanted.join(index, "segment").where("row_index >= 0 and row_index < rows")
-        if base.deletes:
-            new = new.join(table.delete_vectors(base), ["segment", "row_index"], "left_anti")
-        at, counted[0] = table.write_deletes(new)
+        at, counted[0] = _new_deletes(table, base, positions)
         return {"deletes": (*base.deletes, at), "deleted": base.deleted + counted[0]} if counted[0] else None
 
     committed(table, attempt)
     return counted[0]
 
 
+def update_rows(table: ManagedTable, positions: DataFrame, rows: DataFrame) -> int:
+    """Delete rows by position and insert ``rows`` in one commit; returns the greater of both counts."""
+    counted = [0]
+
+    def attempt(base: Snapshot) -> dict | None:
+        at, gone = _new_deletes(table, base, positions)
+        index, n, size, files = table.write_files(base.schema.stored(rows), True, table.options, base.schema)
+        counted[0] = max(gone, n)
+        return {
+            "deletes": (*base.deletes, at), "deleted": base.deleted + gone, "index": (*base.index, index), "rows": base.rows + n,
+            "staged_bytes": base.staged_bytes + size, "staged_files": base.staged_files + files,
+        } if counted[0] else None
+
+    committed(table, attempt)
+    return counted[0]
+
+
 def delete_segments(table: ManagedTable, segments: list[str]) -> int:
     """Take whole segments out in one commit; return how many there were."""
     counted = [0]

@@ -174,6 +174,10 @@ def test_low_level_deletes(spark, tmp_path):
     with pytest.raises(SchemaMismatch):
         dml.delete_positions(table, spark.createDataFrame([("none", 0)], "segment string, row_index long"))
     assert table.row_count() == table.scan().count() == 198
+    assert dml.update_rows(table, positions.limit(0), rows(spark, 500, 502)) == 2
+    assert dml.update_rows(table, spark.createDataFrame([(first.segment, 7)], "segment string, row_index long"), rows(spark, 7, 8)) == 1
+    assert table.row_count() == table.scan().count() == 200 and table.scan("id = 7").count() == 1
+    assert dml.delete(table, "id >= 500 or id = 7") == 3
     assert dml.delete_segments(table, [first.segment]) == 1
     assert ids(table.scan()) == list(range(100, 200))
 
