@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from .arrow_columns import strings, with_columns
 
 #: Characters handed to the library at once: bounds the memory its encodings take.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 #: A single space between other characters starts a piece of the pattern, whatever surrounds it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 

@@ -39,7 +39,7 @@ from .words import Words, buffers, chunks, mix, windows
 #: Words of a window, and the period of the cover. A period of 21 keeps 5 of 21 places.
 WINDOW, PERIOD = 35, 21
 #: Hashes a mapping task holds before it sends them.
-HELD = 1_000_000
+HELD = 400_000
 #: Spans written in at most so many bytes go to the rows by broadcast; more, by a join that shuffles both.
 BROADCAST_BYTES = 8 << 20
 
