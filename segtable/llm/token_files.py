@@ -49,6 +49,8 @@ KNOWN_WORDS = 1_000_000
 #: A word of Latin-1 letters, perhaps with points after it: two pieces at most, as letters end where points begin.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
 
+_PLAIN_ASCII = re.compile(rb"([a-z]+)([.,;:!?]*)").fullmatch
+
 
 class WordEncoder:
     """Ids of whole texts, each distinct word between ASCII spaces encoded once.
@@ -94,6 +96,15 @@ class WordEncoder:
     def _learn(self, words: set[bytes]) -> None:
         known, other, parts, cores = self._known, set(), [], {}
         for w in words:
+            match = _PLAIN_ASCII(w) if self._lowers else None
+            if match:
+                key, tail = match.groups()
+                parts.append((w, key, tail))
+                if key not in known:
+                    cores[key] = key.decode()
+                if tail and tail not in known:
+                    other.add(tail.decode())
+                continue
             match = _PLAIN.fullmatch(w.decode()) if self._lowers else None
             if match:
                 core, tail = match[1].lower(), match[2].encode()
@@ -113,9 +124,13 @@ class WordEncoder:
         for w, key, tail in parts:
             known[w] = known[key] + known[tail] if tail else known[key]
 
+    def _lowered(self, text: bytes) -> bytes:
+        """ASCII in lower case, as the tokenizer would make it, unless that could make a special token of something else."""
+        return text.lower() if self._lowers and b"<|" not in text else text
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian numbers of ``kind``."""
-        listed = [(t or "").encode().split() for t in texts]
+        listed = [self._lowered((t or "").encode()).split() for t in texts]
         if len(self._known) > KNOWN_WORDS:
             self._known = {}
         new = {w for words in listed for w in words if w not in self._known}
