@@ -17,7 +17,7 @@ a standard error of about 0.1.
 Cases: a null text is an empty one, whose fingerprint is all zeros; two empty texts
 are alike (1), an empty and another are not (0); sums are exact up to about a million
 paragraphs a text, beyond which a lane runs into the next, still the same for equal
-texts; rows with one id follow each other by text; null ids come last in the
+texts; rows with one id follow each other by a hash of their text; null ids come last in the
 descending order; an empty table stays empty; other columns do not matter.
 """
 
