@@ -1,16 +1,17 @@
-"""Near-duplicate embeddings by sorted projection passes.
+"""Near-duplicate embeddings by an exact join of cells.
 
-In each pass vectors of one label are ordered by the concatenated signs of random
-projections, and each is compared with the ``window`` before it, in double precision.
-Pairs found to reach the threshold are united, across windows and passes. What moves
-on from a window is an edge from a vector to the root of its neighbourhood, not every
-pair, so a group of any size costs an edge for each vector and pass.
+Equal vectors are one class first. In a label of more than ``CELL`` vectors about one
+in ``CELL`` is a pivot, and each vector belongs to the cell of the pivot nearest to it.
+Two vectors that link are at most ``sqrt(2 - 2 * threshold)`` apart, so when they belong
+to two cells both lie that near to the plane between the two pivots. A vector is
+therefore also sent, as a guest, to every cell before its own whose plane is that near,
+and each pair that can link meets in exactly one cell. No pair is left to chance.
 
-Equal vectors are one class first. The number of passes follows the size of the
-largest label, so that a pair at the threshold stays apart in all passes with a
-chance of at most ``MISS``. Links within a component are then counted exactly: its
-vectors are compared in square blocks of ``BLOCK``, dealt out by block, and only
-counts leave a block.
+The vectors of a cell are compared in double precision in square blocks of ``BLOCK``,
+dealt out by block. What moves on from a block is a row for each vector that links: how
+many links it has there, and the root of its neighbourhood. Where planes do not tell
+vectors apart (spread evenly in many dimensions, or all around one centre) the work is
+quadratic in the size of a label.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and
 rows whose label or id is null, link with nothing; vectors of different lengths do
@@ -31,17 +32,19 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .scratch import save
 
-THRESHOLD, WINDOW, BITS = 0.98, 64, 48
-#: Greatest chance that a pair at the threshold meets in no pass.
+THRESHOLD = 0.98
+#: Greatest chance of a miss that ``passes_for`` allows.
 MISS = 1e-6
-#: Vectors of a side of a block when links are counted.
-BLOCK = 256
-#: Vectors compared at once in a pass.
-STRIP = 4096
+#: One vector in so many is a pivot.
+CELL = 1024
+#: Vectors of a side of a block.
+BLOCK = 1024
+#: Vectors held against the pivots at once, and what rounding may take from a distance.
+STRIP, SLACK = 256, 1e-6
 
 
 def passes_for(rows: int, threshold: float, window: int, miss: float = MISS) -> int:
-    """Passes for ``rows`` vectors of a label: two vectors meet if they agree on enough leading bits to share a window."""
+    """Sorted passes by which two of ``rows`` evenly spread vectors share a window; ``near_duplicates`` compares without passes."""
     agree = 1 - math.acos(threshold) / math.pi
     meet = agree ** max(1.0, math.log2(max(rows, 1) / window) + 1)
     return max(1, math.ceil(math.log(miss) / math.log1p(-meet)))
@@ -64,109 +67,117 @@ def _batches_of(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(a, b - a)
 
 
-def _keys(passes: int):
-    """Adds ``keys``: for each pass the signs of BITS projections, as one number whose order is lexicographic."""
+def _cells(threshold: float, pivots: dict[int, np.ndarray]):
+    """Adds ``cells``: the vector's own cell, then those before it where a vector that links with it can be."""
+    apart = math.sqrt(max(0.0, 2 - 2 * threshold))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
-        for whole in batches:
-            for batch in _batches_of(whole, 2):
-                x = _unit(_matrix(batch.column(2)))
-                keys = np.empty((len(x), passes), np.int64)
-                for p in range(passes):
-                    plane = np.random.default_rng([p, x.shape[1]]).standard_normal((x.shape[1], BITS))
-                    keys[:, p] = (x @ plane > 0) @ weights
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * passes, pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, listed], names=["node", "family", "vector", "keys"])
-
-    return run
-
-
-def _neighbours(threshold: float, window: int):
-    """Edges (a, b) from each vector to the least id of its neighbourhood, over strips that overlap by a window."""
-
-    def roots(group: np.ndarray, x: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = len(x)
-        left, right = [], []
-        for gap in range(1, min(window, n - 1) + 1):
-            near = (group[gap:] == group[:-gap]) & (np.einsum("ij,ij->i", x[gap:], x[:-gap]) >= threshold)
-            at = np.flatnonzero(near)
-            left.append(at)
-            right.append(at + gap)
-        a = np.concatenate(left) if left else np.zeros(0, np.int64)
-        b = np.concatenate(right) if right else a
-        root = np.arange(n)
-        while len(a):
-            low = np.minimum(root[a], root[b])
-            new = root.copy()
-            np.minimum.at(new, a, low)
-            np.minimum.at(new, b, low)
-            new = np.minimum(new, new[new])
-            if (new == root).all():
-                break
-            root = new
-        moved = np.flatnonzero(root != np.arange(n))
-        return node[moved], node[root[moved]]
+    def places(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cells of some vectors, the own cell of each first."""
+        dots = x @ at.T
+        own = dots.argmax(1)
+        between = np.sqrt(np.maximum(0.0, 2 - 2 * (at[own] @ at.T)))
+        guest = dots[np.arange(len(x)), own][:, None] - dots <= apart * between + SLACK
+        guest &= np.arange(len(at)) < own[:, None]
+        row, cell = np.nonzero(guest)
+        row, cell = np.concatenate([np.arange(len(x)), row]), np.concatenate([own, cell])
+        order = np.argsort(row, kind="stable")
+        return row[order], cell[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last window of rows: group, vectors, nodes
         for whole in batches:
             for batch in _batches_of(whole, 3):
-                for at in range(0, batch.num_rows, STRIP):
-                    part = batch.slice(at, STRIP)
-                    x = _unit(_matrix(part.column(3)))
-                    group = part.column(0).to_numpy() * np.int64(0x9E3779B1) ^ part.column(1).to_numpy()
-                    node = part.column(2).to_numpy()
-                    if held is not None and held[1].shape[1] == x.shape[1]:
-                        group, x, node = (np.concatenate(p) for p in zip(held, (group, x, node), strict=True))
-                    a, b = roots(group, x, node)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-                    held = group[-window:], x[-window:], node[-window:]
+                if not batch.num_rows:
+                    continue
+                x, family = _unit(_matrix(batch.column(3))), batch.column(1).to_numpy()
+                rows, cells = [], []
+                for f in np.unique(family):
+                    members = np.flatnonzero(family == f)
+                    if int(f) not in pivots:
+                        rows.append(members)
+                        cells.append(np.zeros(len(members), np.int64))
+                        continue
+                    for k in range(0, len(members), STRIP):
+                        part = members[k : k + STRIP]
+                        row, cell = places(x[part], pivots[int(f)])
+                        rows.append(part[row])
+                        cells.append(cell)
+                row, cell = np.concatenate(rows), np.concatenate(cells)
+                order = np.argsort(row, kind="stable")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(x)))])
+                listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cell[order].astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, listed], names=["node", "family", "copies", "vector", "cells"])
 
     return run
 
 
-def _block_counts(threshold: float):
-    """For each block of a component, how many vectors each of its vectors links with, copies counted."""
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the least one that it reaches by links (a, b)."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = np.minimum(new, new[new])
+        if (new == root).all():
+            break
+        root = new
+    return root
 
-    def counted(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+
+def _block_links(threshold: float):
+    """For each block, the vectors that link there: node, root of the neighbourhood, and how many vectors it links with, copies counted."""
+
+    def linked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         side = rows["block"].to_numpy()
         i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
-        x, copies, node = _matrix(rows["vector"].combine_chunks()), rows["copies"].to_numpy(), rows["node"].to_numpy()
-        x = _unit(x)
+        x, copies, node = _unit(_matrix(rows["vector"].combine_chunks())), rows["copies"].to_numpy(), rows["node"].to_numpy()
         p, q = np.flatnonzero(side == i), np.flatnonzero(side == j)
         near = x[p] @ x[q].T >= threshold
+        links = np.zeros(len(x), np.int64)
         if i == j:
             np.fill_diagonal(near, False)
-            yield node[p], near @ copies[p]
-        else:
-            yield node[p], near @ copies[q]
-            yield node[q], near.T @ copies[p]
+        at, to = np.nonzero(near)
+        np.add.at(links, p[at], copies[q[to]])
+        if i != j:
+            np.add.at(links, q[to], copies[p[at]])
+        root = _roots(len(x), p[at], q[to])
+        found = np.flatnonzero(links)
+        return node[found], node[root[found]], links[found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            for node, links in counted(table):
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(links.astype(np.int64))], names=["node", "links"])
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in linked(pa.Table.from_batches(held))], names=["node", "root", "links"])
 
         last = None
         for batch in batches:
-            keys = np.stack([batch.column(k).to_numpy() for k in (0, 1, 2)], 1)
+            keys = np.stack([batch.column(k).to_numpy() for k in range(4)], 1)
             edges = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]]) if len(keys) else np.zeros(1, int)
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if held and tuple(keys[a]) != last:
-                    yield from out(pa.Table.from_batches(held))
+                    yield out()
                     held = []
                 held.append(batch.slice(a, b - a))
                 last = tuple(keys[a])
         if held:
-            yield from out(pa.Table.from_batches(held))
+            yield out()
 
     return run
 
 
-def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
+def _pivots(kinds: DataFrame) -> dict[int, np.ndarray]:
+    """Unit vectors of the pivots of each large family, one in ``CELL`` by a hash: as many times fewer than the vectors, so the driver holds them."""
+    large = kinds.groupBy("family").count().where(F.col("count") > CELL).select("family")
+    drawn = kinds.where(F.pmod(F.xxhash64(F.lit(2), "node"), F.lit(CELL)) == 0).join(F.broadcast(large), "family", "left_semi")
+    found: dict[int, list] = {}
+    for r in drawn.select("family", "node", "vector").orderBy("family", "node").collect():
+        found.setdefault(r.family, []).append(r.vector)
+    return {f: _unit(np.array(v, np.float64)) for f, v in found.items()}
+
+
+def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """A row for each row of ``df``: id, n_links, component_id (least id reachable by links), kept."""
     v = F.col(vector)
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -177,24 +188,21 @@ def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding"
     kinds = rows.where("vector is not null").groupBy("family", "h1", "h2").agg(F.min("id").cast("long").alias("node"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
     kinds, _ = save(kinds, "vector-classes")
 
-    largest = kinds.groupBy("family").count().agg(F.max("count")).first()[0] or 0
-    passes = passes_for(largest, threshold, window)
-    keyed = kinds.select("node", "family", "vector").mapInArrow(_keys(passes), f"node long, family long, {_typed(kinds, 'vector')}, keys array<long>")
-    dealt = keyed.select(F.posexplode("keys").alias("pass", "key"), "family", "node", "vector")
-    ordered = dealt.repartitionByRange("pass", "family", "key").sortWithinPartitions("pass", "family", "key", "node")
-    edges = ordered.select(F.col("pass").cast("long"), "family", "node", "vector").mapInArrow(_neighbours(threshold, window), "a long, b long")
-    edges, _ = save(edges.distinct(), "vector-edges")
-    found = connected_components(edges)
-
-    members = kinds.join(found.withColumnRenamed("id", "node"), "node")
-    size = found.groupBy("component").agg(F.count("*").alias("size"))
-    members = members.join(size, "component").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long"))
-    spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "component", F.least("block", "other").cast("long").alias("i"), F.greatest("block", "other").cast("long").alias("j"), "block", "node", "copies", "vector",
-    )
-    counts = spread.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_block_counts(threshold), "node long, links long")
-    linked = counts.groupBy("node").agg(F.sum("links").alias("links"))
+    celled = kinds.select("node", "family", "copies", "vector").mapInArrow(_cells(threshold, _pivots(kinds)), f"node long, family long, copies long, {_typed(kinds, 'vector')}, cells array<long>")
+    celled, _ = save(celled, "vector-cells")
+    placed = celled.select("node", "family", "copies", "vector", F.posexplode("cells").alias("guest", "cell")).withColumn("guest", F.col("guest") > 0)
+    # Cells of more than a block, fewer than vectors by far: how many blocks their own vectors fill, and their guests.
+    blocks = placed.groupBy("family", "cell").agg(F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("guest")) / BLOCK)).cast("long").alias("own"), F.ceil(F.count_if("guest") / BLOCK).cast("long").alias("guests"))
+    dealt = placed.join(F.broadcast(blocks.where("own + guests > 1")), ["family", "cell"], "left")
+    own, guests = F.coalesce("own", F.lit(1)), F.coalesce("guests", F.lit(0))
+    dealt = dealt.withColumn("block", F.when(F.col("guest"), own + F.pmod(F.xxhash64("node"), F.greatest(guests, F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), own)))
+    # Guests meet the cell's own vectors; those meet each other and the guests.
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("guest"), own - 1).otherwise(own + guests - 1))))
+    spread = dealt.select("family", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "vector")
+    links = spread.repartition("family", "cell", "i", "j").sortWithinPartitions("family", "cell", "i", "j").mapInArrow(_block_links(threshold), "node long, root long, links long")
+    links, _ = save(links, "vector-links")
+    found = connected_components(links.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct())
+    linked = links.groupBy("node").agg(F.sum("links").alias("links"))
 
     known = kinds.select("family", "h1", "h2", "node", "copies").join(found.withColumnRenamed("id", "node"), "node", "left").join(linked, "node", "left")
     out = rows.select("id", "family", "h1", "h2").join(known, ["family", "h1", "h2"], "left")

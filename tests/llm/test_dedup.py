@@ -171,6 +171,25 @@ def test_near_vectors(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cell,block", [(None, None), (40, 24)])
+def test_near_vectors_of_a_dense_label(spark, monkeypatch, cell, block):
+    if cell:
+        monkeypatch.setattr(embedding_dedup, "CELL", cell)
+        monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=64) / 8
+    dense = centre + rng.normal(size=(3000, 64)) * 0.0238
+    apart = np.repeat(rng.normal(size=(100, 64)), 5, axis=0) + rng.normal(size=(500, 64)) * 0.15
+    x = np.concatenate([dense, apart, 2 * dense[:20]]).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(unit @ unit.T >= 0.98, 1))
+    links = list(zip(a.tolist(), b.tolist(), strict=True))
+    want, count = least(range(len(x)), links), Counter(i for p in links for i in p)
+    df = spark.createDataFrame([(k, v, 0) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df.repartition(4)).collect()}
+    assert got == {i: (count[i], want[i], want[i] == i) for i in range(len(x))}
+
+
 def test_passes_grow_slowly():
     made = [embedding_dedup.passes_for(n, 0.98, 64) for n in (10, 10**4, 10**6, 10**9)]
     assert made == sorted(made) and made[-1] < 200
