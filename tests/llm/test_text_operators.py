@@ -188,6 +188,29 @@ def test_mix_takes_prefixes_near_the_target(spark):
     assert mixing.mix(df.limit(0), levels, mixing.given({})).count() == 0
 
 
+def test_mix_of_more_leaves_than_the_driver_plans(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(k, rng.choice(["en", "de", "fr", None]), f"s{int(rng.random() ** 2 * 60)}" if rng.random() < 0.95 else None, " ".join(["w"] * rng.randint(0, 30))) for k in range(1500)]
+    rows += [(2000 + k, "es", f"s{k}", "w " * k) for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").repartition(3)
+    levels = {"lang": F.col("lang"), "source": F.col("source")}
+    weights = mixing.given({("en",): 5.0, ("de",): 0.0, ("fr", "s1"): 0.0, ("fr", "s2"): 40.0, ("en", None): 3.5})
+    tokens, have = {r[0]: len(r[3].split()) for r in rows}, defaultdict(int)
+    for r in rows:
+        have[r[1], r[2]] += tokens[r[0]]
+    monkeypatch.setattr(mixing, "MAX_LEAVES", 20)
+    leaves = spark.createDataFrame([(*p, n) for p, n in have.items()], "a string, b string, tokens long")
+    for w, amount in ((weights, 9000), (weights, 10**9), (mixing.tempered(0.7), 12345), (weights, 0)):
+        want = mixing.budgets(dict(have), amount, w, 3)
+        got = {(r.a, r.b): r["__amount"] for r in mixing._planned(leaves, ["a", "b"], amount, w, 3).collect()}
+        assert got.keys() == want.keys() and sum(got.values()) == sum(want.values()) and all(abs(got[p] - want[p]) <= 1 for p in want)
+    out = mixing.mix(df, levels, weights, fraction=0.9, max_epochs=3, seed=4).collect()
+    want, taken = mixing.budgets(dict(have), int(sum(have.values()) * 0.9), weights, 3), defaultdict(int)
+    for r in out:
+        taken[r.lang, r.source] += tokens[r.doc_id] * r.copies
+    assert len(out) == len(rows) and all(abs(taken[p] - want[p]) <= 16 for p in have) and max(r.copies for r in out) <= 3
+
+
 def test_mix_whole_and_nothing(spark):
     df = spark.createDataFrame([(k, "a b c") for k in range(20)], "doc_id long, text string").withColumn("source", F.lit("s"))
     levels = {"source": F.col("source")}
