@@ -5,7 +5,7 @@ end of a sentence (texts of one line are common). Each paragraph hashes to a wid
 vector of 120 signs, from two 64-bit hashes of 60 bits each; the fingerprint is the
 sum of the vectors, so the order of paragraphs does not matter, and a paragraph goes
 in or out by adding or subtracting its vector. Bits are counted in packed form:
-``hash >> j`` under a mask puts three bits into lanes of 20 bits of a long, and sums
+``hash >> j`` under a mask puts two bits into lanes of 30 bits of a long, and sums
 of longs are kept modulo 2**60. Each lane counts the ones of one bit; with the number
 of paragraphs, that gives the sum of signs.
 
@@ -15,9 +15,9 @@ It is 1 for equal fingerprints and near 0 for texts without a common paragraph,
 a standard error of about 0.1.
 
 Cases: a null text is an empty one, whose fingerprint is all zeros; two empty texts
-are alike (1), an empty and another are not (0); sums are exact up to about a million
-paragraphs a text, beyond which a lane runs into the next, still the same for equal
-texts; rows with one id follow each other by a hash of their text; null ids come last in the
+are alike (1), an empty and another are not (0); a lane counts to 2**30 - 1, and a text
+of the 2**31 - 16 bytes that a string can have holds fewer paragraphs, so sums are exact
+for every text; rows with one id follow each other by a hash of their text; null ids come last in the
 descending order; an empty table stays empty; other columns do not matter.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 #: Where a paragraph ends.
 BREAKS = r"\n+|(?<=[.!?])[ \t]+"
 #: Bits of a lane, lanes of a long, and hash seeds.
-LANE, LANES, SEEDS = 20, 3, (17, 71)
+LANE, LANES, SEEDS = 30, 2, (17, 71)
 _MASK = sum(1 << (LANE * k) for k in range(LANES))
 _MODULUS = (1 << (LANE * LANES)) - 1
 _LONGS = LANE * len(SEEDS)

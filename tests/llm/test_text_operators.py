@@ -91,6 +91,15 @@ def test_likeness_follows_shared_paragraphs(spark):
     assert 0.25 < got[0] < 0.75 and got[1] < 0.35 and got[2] == 0.0 and got[3] == 1.0
 
 
+@pytest.mark.parametrize("n", [1_100_000, 2**30 - 8])
+def test_paragraphs_of_long_texts_stay_in_their_lanes(spark, n):
+    one = printed(spark, "Line")[0]
+    many = [x * n % 2**60 for x in one]  # n times the same line, as vector() sums it; a string holds 2**30 - 8 at most
+    df = spark.createDataFrame([(one, many)], "one array<long>, many array<long>")
+    r = df.select(fingerprints.signs(F.col("one")).alias("one"), fingerprints.signs(F.col("many")).alias("many")).first()
+    assert len(r.one) == 120 and r.many == [n * x for x in r.one]
+
+
 @pytest.mark.parametrize("n", [1, 2, 37])
 def test_next_row(spark, n):
     ids = [random.Random(n).sample(range(1000), n), [5] * n][n == 2]
