@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .errors import Unsupported
+from .errors import InvalidArgument, Unsupported
 from .functions.names import register as register_names
 from .operators import dml, writing
 from .options import TableOptions
@@ -44,42 +44,67 @@ class Engine:
     def sql(self, text: str) -> DataFrame:
         """Run a statement. A SELECT is pinned to the snapshots of this call; DML returns one row, ``count``."""
         plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-        kind = plan.getClass().getSimpleName()
+        kind, ctes = plan.getClass().getSimpleName(), None
+        if kind == "UnresolvedWith":  # WITH before an INSERT belongs to the rows it inserts
+            inner = plan.child().getClass().getSimpleName()
+            if inner in ("DeleteFromTable", "UpdateTable"):
+                raise Unsupported("WITH before DELETE or UPDATE is not carried out on managed tables: put the query into the condition")
+            if inner == "InsertIntoStatement":
+                plan, kind, ctes = plan.child(), inner, plan
         if kind in _REFUSED:
             raise Unsupported(f"{_REFUSED[kind]} is not carried out on managed tables")
         if kind in ("DeleteFromTable", "UpdateTable", "InsertIntoStatement"):
-            table = self._target(plan.table())
+            table, alias = self._target(plan.table())
             if table is not None:
                 self._views({n: None for n in self._tables if n in text.lower()})  # for queries within the statement
-                return self._counted(getattr(self, f"_{kind}")(plan, table, where_text(text)))
+                return self._counted(getattr(self, f"_{kind}")(plan, table, alias, ctes))
         return self._select(text)
 
+    def export(self, text: str, path: str, kind: str = "parquet", **options: str) -> None:
+        """Write the rows of a SELECT as files of another format; the folder must not exist."""
+        self._select(text).write.format(kind).options(**options).save(path)
+
     def explain(self, text: str) -> dict[str, ScanPlan]:
         """What the scans of a SELECT would read, by table."""
         self._select(text, True)
         return dict(self.plans)
 
-    def _target(self, relation) -> ManagedTable | None:
+    def _target(self, relation) -> tuple[ManagedTable | None, str | None]:
+        """The managed table that a statement changes, and the name it gives to it."""
+        alias = None
         while relation.getClass().getSimpleName() == "SubqueryAlias":
+            alias = alias or relation.alias()
             relation = relation.child()
         parts = relation.multipartIdentifier() if hasattr(relation, "multipartIdentifier") else None
-        return self._tables.get(parts.last().lower()) if parts is not None and parts.size() == 1 else None
+        return (self._tables.get(parts.last().lower()) if parts is not None and parts.size() == 1 else None), alias
 
     def _counted(self, n: int) -> DataFrame:
         return self.spark.createDataFrame([(n,)], "count long")
 
-    def _DeleteFromTable(self, plan, table: ManagedTable, where: str | None) -> int:
-        return dml.delete(table, where)
+    def _column(self, expression) -> Column:
+        """The parser's own expression, as it stands."""
+        return Column(self.spark._jvm.org.apache.spark.sql.classic.ExpressionUtils.column(expression))
+
+    def _DeleteFromTable(self, plan, table: ManagedTable, alias: str | None, _) -> int:
+        # Without WHERE the parser's condition is the literal true.
+        return dml.delete(table, None if plan.condition().toString() == "true" else self._column(plan.condition()), alias)
 
-    def _UpdateTable(self, plan, table: ManagedTable, where: str | None) -> int:
-        seq = plan.assignments()
+    def _UpdateTable(self, plan, table: ManagedTable, alias: str | None, _) -> int:
+        seq, where = plan.assignments(), plan.condition()
         pairs = [(seq.apply(k).key(), seq.apply(k).value()) for k in range(seq.size())]
-        return dml.update(table, {k.nameParts().last(): v.sql() for k, v in pairs}, where)
+        names = [k.nameParts().last() for k, _ in pairs]
+        if len({n.lower() for n in names}) < len(names):
+            raise InvalidArgument("a column is set once")
+        return dml.update(table, {n: self._column(v) for n, (_, v) in zip(names, pairs, strict=True)}, self._column(where.get()) if where.isDefined() else None, alias)
 
-    def _InsertIntoStatement(self, plan, table: ManagedTable, _: str | None) -> int:
+    def _InsertIntoStatement(self, plan, table: ManagedTable, _: str | None, ctes) -> int:
         if plan.overwrite() or plan.ifPartitionNotExists():
             raise Unsupported("INSERT OVERWRITE is not carried out on managed tables")
-        rows = self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.spark._jsparkSession, plan.query())
+        query = plan.query()
+        if ctes is not None:
+            jvm = self.spark._jvm
+            query = ctes.withNewChildren(jvm.scala.jdk.javaapi.CollectionConverters.asScala(jvm.java.util.List.of(query)).toSeq())
+        rows = self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.spark._jsparkSession, query)
         rows = DataFrame(rows, self.spark)
         schema = table.snapshot().schema
         named = plan.userSpecifiedCols()
@@ -122,27 +147,3 @@ class Engine:
             found = {name: scan_filters(plan, mark) for name, mark in marks.items()}
             self._views(found, snapshots, counted)
         return self.spark.sql(text)
-
-
-def where_text(statement: str) -> str | None:
-    """What follows the WHERE of a DELETE or UPDATE, outside of quotes and brackets; None without one."""
-    text, depth, quote, at = statement.rstrip().rstrip(";"), 0, "", 0
-    while at < len(text):
-        c = text[at]
-        if quote:
-            at += c == "\\" and quote != "`"
-            quote = "" if c == quote else quote
-        elif c in "'\"`":
-            quote = c
-        elif c in "()":
-            depth += 1 if c == "(" else -1
-        elif depth == 0 and text[at : at + 5].lower() == "where" and _edge(text, at):
-            return text[at + 5 :].strip()
-        at += 1
-    return None
-
-
-def _edge(text: str, at: int) -> bool:
-    """Whether the five letters at ``at`` are a word of their own."""
-    inside = lambda c: c.isalnum() or c == "_"
-    return not (at and inside(text[at - 1])) and not (at + 5 < len(text) and inside(text[at + 5]))

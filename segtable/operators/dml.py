@@ -13,13 +13,13 @@ from ..sources.table import ManagedTable
 from .writing import committed, replaced
 
 
-def _matching(table: ManagedTable, base: Snapshot, where: str | Column | None) -> DataFrame:
+def _matching(table: ManagedTable, base: Snapshot, where: str | Column | None, alias: str | None) -> DataFrame:
     """Live rows for which the predicate is true (not null), with their places."""
-    return table.scan(where, base, positions=True)
+    return table.scan(where, base, positions=True, alias=alias)
 
 
-def delete(table: ManagedTable, where: str | Column | None = None) -> int:
-    """Delete rows for which ``where`` is true, or all; return how many."""
+def delete(table: ManagedTable, where: str | Column | None = None, alias: str | None = None) -> int:
+    """Delete rows for which ``where`` is true, or all; return how many. ``alias`` is the name by which it may qualify columns."""
     counted = [0]
 
     def attempt(base: Snapshot) -> dict | None:
@@ -27,14 +27,14 @@ def delete(table: ManagedTable, where: str | Column | None = None) -> int:
         if where is None:
             counted[0] = base.live_rows
             return {"index": (), "deletes": (), "rows": 0, "deleted": 0, "staged_bytes": 0, "staged_files": 0} if base.rows else None
-        at, counted[0] = table.write_deletes(_matching(table, base, where))
+        at, counted[0] = table.write_deletes(_matching(table, base, where, alias))
         return {"deletes": (*base.deletes, at), "deleted": base.deleted + counted[0]} if counted[0] else None
 
     committed(table, attempt)
     return counted[0]
 
 
-def update(table: ManagedTable, assignments: dict[str, str | Column], where: str | Column | None = None) -> int:
+def update(table: ManagedTable, assignments: dict[str, str | Column], where: str | Column | None = None, alias: str | None = None) -> int:
     """Set columns of rows for which ``where`` is true, or of all; expressions see the old row. Returns how many.
 
     Values are cast to the column's type; one that does not fit is an error (ANSI), and
@@ -49,7 +49,7 @@ def update(table: ManagedTable, assignments: dict[str, str | Column], where: str
             raise InvalidArgument("a column is set once")
         kept = f"matches/{uuid.uuid4().hex}"
         # Matches are written once: their places and their new versions must be of the same rows.
-        _matching(table, base, where).write.parquet(table.storage.path(kept))
+        _matching(table, base, where, alias).write.parquet(table.storage.path(kept))
         matched = table.spark.read.parquet(table.storage.path(kept))
         try:
             at, counted[0] = table.write_deletes(matched)
@@ -63,7 +63,7 @@ def update(table: ManagedTable, assignments: dict[str, str | Column], where: str
                     columns.append(value.cast(f.field.dataType).alias(f.name))
                 else:
                     columns.append(F.col(f"`{f.name}`"))
-            index, n, size, files = table.write_files(base.schema.stored(table.aliased(matched).select(*columns)), True, table.options, base.schema)
+            index, n, size, files = table.write_files(base.schema.stored(table.aliased(matched, alias).select(*columns)), True, table.options, base.schema)
         finally:
             table.storage.delete(kept)
         return {

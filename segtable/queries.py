@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .engine import Engine
@@ -92,24 +93,24 @@ READS: dict[str, tuple] = {
     "filter_between": ("orders", "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 1000 AND 5000"),
     "filter_null_literal": ("orders", "SELECT count(*) AS n FROM orders WHERE o_custkey = NULL"),
     "like_substring": ("documents", "SELECT doc_id FROM documents WHERE text LIKE '%idiot%'"),
-    "like_prefix": ("part", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'a%'"),
+    "like_prefix": ("part", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'sm%'"),
     "like_underscore": ("part", "SELECT p_partkey FROM part WHERE p_brand LIKE 'Brand#_1'"),
     "not_like": ("documents", "SELECT doc_id FROM documents WHERE text NOT LIKE '%the%'"),
     "ilike": ("documents", "SELECT doc_id FROM documents WHERE text ILIKE '%IDIOT%'"),
     "like_escape": ("documents", "SELECT doc_id FROM documents WHERE text LIKE '%!%%' ESCAPE '!'"),
-    "filter_regex": ("part", "SELECT p_partkey FROM part WHERE p_type RLIKE '^[A-M].*S'", "SELECT p_partkey FROM part WHERE regexp_matches(p_type, '^[A-M].*S')"),
+    "filter_regex": ("part", "SELECT p_partkey FROM part WHERE p_type RLIKE '^[A-M].*Y$'", "SELECT p_partkey FROM part WHERE regexp_matches(p_type, '^[A-M].*Y$')"),
     "case_when": ("orders", "SELECT CASE WHEN o_totalprice > 100000 THEN 'high' WHEN o_totalprice > 10000 THEN 'mid' ELSE 'low' END AS band, count(*) AS n FROM orders GROUP BY 1"),
     "in_subquery": ("orders customer", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')"),
     "scalar_subquery": ("orders", "SELECT count(*) AS n FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)"),
     "subquery_exists": ("customer orders", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 100000)"),
-    "subquery_not_exists": ("customer orders", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)"),
+    "subquery_not_exists": ("customer orders", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)"),
     "join_inner": ("orders customer", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 3"),
     "join_three": ("customer nation region", "SELECT r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"),
     "join_left": ("customer orders", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey"),
     "join_right": ("nation supplier", "SELECT n_name, s_suppkey FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey"),
     "join_full": ("nation supplier", "SELECT n_nationkey, s_suppkey FROM nation FULL OUTER JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 0"),
     "join_semi": ("supplier nation", "SELECT n_name FROM nation LEFT SEMI JOIN supplier ON s_nationkey = n_nationkey", "SELECT n_name FROM nation SEMI JOIN supplier ON s_nationkey = n_nationkey"),
-    "join_anti": ("supplier nation", "SELECT n_name FROM nation LEFT ANTI JOIN supplier ON s_nationkey = n_nationkey", "SELECT n_name FROM nation ANTI JOIN supplier ON s_nationkey = n_nationkey"),
+    "join_anti": ("supplier nation", "SELECT n_name FROM nation LEFT ANTI JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 9000", "SELECT n_name FROM nation ANTI JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 9000"),
     "join_theta": ("nation region", "SELECT n_nationkey, r_regionkey FROM nation JOIN region ON n_regionkey < r_regionkey"),
     "join_cross": ("nation region", "SELECT n_nationkey, r_regionkey FROM nation CROSS JOIN region"),
     "join_self": ("nation", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"),
@@ -140,7 +141,26 @@ READS: dict[str, tuple] = {
     "set_union": ("customer supplier", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier"),
     "set_union_all": ("customer supplier", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier"),
     "set_intersect": ("customer supplier", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier"),
-    "set_except": ("nation supplier", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier"),
+    "set_except": ("nation supplier", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000"),
+    "set_intersect_all": ("customer supplier", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier"),
+    "set_except_all": ("customer supplier", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier"),
+    "limit_plain": ("lineitem", "SELECT count(*) AS n FROM (SELECT l_orderkey FROM lineitem LIMIT 5000)"),
+    "agg_approx": (
+        "orders lineitem",
+        "SELECT abs(a - e) <= 0.1 * e AS distinct_near, p BETWEEN low AND high AS median_near FROM (SELECT approx_count_distinct(o_custkey) AS a, count(DISTINCT o_custkey) AS e, percentile_approx(o_totalprice, 0.5, 1000) AS p, percentile(o_totalprice, 0.48) AS low, percentile(o_totalprice, 0.52) AS high FROM orders)",
+        "SELECT abs(a - e) <= 0.1 * e AS distinct_near, p BETWEEN low AND high AS median_near FROM (SELECT count(DISTINCT o_custkey) AS a, count(DISTINCT o_custkey) AS e, median(o_totalprice) AS p, quantile_cont(o_totalprice, 0.48) AS low, quantile_cont(o_totalprice, 0.52) AS high FROM orders)",
+    ),
+    "fn_json": ("events", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events"),
+    "fn_map": (
+        "orders",
+        "SELECT o_orderkey, m['status'] AS status, size(m) AS n, array_join(sort_array(map_keys(m)), ',') AS keys FROM (SELECT o_orderkey, map('status', o_orderstatus, 'priority', o_orderpriority) AS m FROM orders)",
+        "SELECT o_orderkey, m['status'] AS status, CAST(cardinality(m) AS INT) AS n, array_to_string(list_sort(map_keys(m)), ',') AS keys FROM (SELECT o_orderkey, MAP {'status': o_orderstatus, 'priority': o_orderpriority} AS m FROM orders)",
+    ),
+    "fn_struct": (
+        "customer",
+        "SELECT c_custkey, s.name AS name, s.at.nation AS nation FROM (SELECT c_custkey, named_struct('name', c_name, 'at', named_struct('nation', c_nationkey, 'segment', c_mktsegment)) AS s FROM customer) WHERE s.at.segment = 'BUILDING'",
+        "SELECT c_custkey, s.name AS name, s.at.nation AS nation FROM (SELECT c_custkey, {'name': c_name, 'at': {'nation': c_nationkey, 'segment': c_mktsegment}} AS s FROM customer) WHERE s.at.segment = 'BUILDING'",
+    ),
     "distinct": ("orders", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders"),
     "cte": ("orders customer", "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT c_mktsegment, CAST(sum(n) AS BIGINT) AS n FROM big JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment"),
     "values_list": ("nation", "SELECT n_name, v.w FROM nation JOIN (VALUES (0, 'a'), (1, 'b')) AS v(k, w) ON n_regionkey = v.k"),
@@ -178,7 +198,7 @@ def scan_staged_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Engine(spark)
     table = e.attach("events", build(spark, rows.where("event_id % 2 = 0"), TableOptions()))
     insert(table, rows.where("event_id % 2 != 0"))
-    return e.sql("SELECT event_id, user_id, event_type FROM events WHERE user_id < 50")
+    return e.sql("SELECT event_id, user_id, event_type FROM events")
 
 
 def zorder_box(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,6 +253,26 @@ def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.scan().groupBy("event_type").count().withColumnRenamed("count", "n")
 
 
+def filter_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A predicate that no statistics answer, beside one that they do."""
+    spark.udf.register("last_digit", F.udf(lambda k: k % 10, "long"))
+    return engine(spark, sf_dir, ["orders"]).sql("SELECT o_orderkey FROM orders WHERE last_digit(o_orderkey) = 4 AND o_custkey < 500")
+
+
+def write_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows through tables of two codecs."""
+    rows = parquet(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
+    tables = [build(spark, rows, TableOptions(compression=c)) for c in ("lz4", "zstd")]
+    return tables[0].scan().unionAll(tables[1].scan())
+
+
+def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a query gives, written as plain files and read back as any other source."""
+    path = new_folder(spark, "export")
+    engine(spark, sf_dir, ["orders"]).export("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'", path, "csv", header="true")
+    return spark.read.schema("o_orderkey long, o_totalprice double").option("header", "true").csv(path)
+
+
 def prune_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many segments each predicate leaves to read and skips, as the scan's plan shows it."""
     asked = [
@@ -262,11 +302,17 @@ CHANGES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "source_json": (_file_source("json"), _CUSTOMERS),
     "source_orc": (_file_source("orc"), _CUSTOMERS),
     "count_metadata": (count_metadata, "SELECT count(*) AS n FROM lineitem"),
-    "scan_staged_union": (scan_staged_union, "SELECT event_id, user_id, event_type FROM events WHERE user_id < 50"),
+    "scan_staged_union": (scan_staged_union, "SELECT event_id, user_id, event_type FROM events"),
     "zorder_box": (zorder_box, "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_partkey BETWEEN 10 AND 60 AND l_suppkey BETWEEN 2 AND 5"),
     "delete_where": (_changed("orders", "DELETE FROM orders WHERE o_totalprice > 50000 AND o_orderstatus != 'P'", select="SELECT * FROM orders"), "SELECT * FROM orders WHERE NOT coalesce(o_totalprice > 50000 AND o_orderstatus != 'P', false)"),
+    "delete_commented": (_changed("orders", "DELETE FROM orders -- it's (not all\n WHERE o_orderkey % 5 = 2 /* where ' */", "DELETE FROM orders /* don't ( */ AS x WHERE x.o_orderkey % 5 = 3", select="SELECT * FROM orders"), "SELECT * FROM orders WHERE o_orderkey % 5 NOT IN (2, 3)"),
+    "update_commented": (_changed("customer", "UPDATE customer AS x SET x.c_mktsegment = 'a where (' -- it's (\n WHERE x.c_nationkey = 3", select="SELECT c_custkey, c_mktsegment FROM customer"), "SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN 'a where (' ELSE c_mktsegment END AS c_mktsegment FROM customer"),
+    "insert_cte": (_changed("nation", "WITH c AS (SELECT n_nationkey + 100 AS k, n_name, n_regionkey FROM nation WHERE n_regionkey = 1) INSERT INTO nation SELECT * FROM c", select="SELECT * FROM nation"), "SELECT * FROM nation UNION ALL SELECT n_nationkey + 100, n_name, n_regionkey FROM nation WHERE n_regionkey = 1"),
+    "filter_udf": (filter_udf, "SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 4 AND o_custkey < 500"),
+    "write_codecs": (write_codecs, "SELECT p_partkey, p_name, p_retailprice FROM part UNION ALL SELECT p_partkey, p_name, p_retailprice FROM part"),
+    "export_csv": (export_csv, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'"),
     "delete_all": (_changed("nation", "DELETE FROM nation", select="SELECT * FROM nation"), "SELECT * FROM nation WHERE false"),
-    "scan_after_delete": (_changed("lineitem", "DELETE FROM lineitem WHERE l_orderkey < 300", select="SELECT count(*) AS n, min(l_orderkey) AS low FROM lineitem WHERE l_orderkey < 900"), "SELECT count(*) AS n, min(l_orderkey) AS low FROM lineitem WHERE l_orderkey >= 300 AND l_orderkey < 900"),
+    "scan_after_delete": (_changed("lineitem", "DELETE FROM lineitem WHERE l_orderkey < 300", select="SELECT * FROM lineitem"), "SELECT * FROM lineitem WHERE l_orderkey >= 300"),
     "update_expr": (_changed("customer", "UPDATE customer SET c_acctbal = c_acctbal + 1, c_mktsegment = 'MOVED' WHERE c_nationkey < 5", select="SELECT c_custkey, c_acctbal, c_mktsegment FROM customer"), "SELECT c_custkey, CASE WHEN c_nationkey < 5 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_nationkey < 5 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment FROM customer"),
     "update_null": (_changed("customer", "UPDATE customer SET c_mktsegment = NULL WHERE c_custkey % 2 = 0", select="SELECT c_custkey, c_mktsegment FROM customer"), "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer"),
     "insert_select": (_changed("nation", "INSERT INTO nation SELECT n_nationkey + 100, n_name, n_regionkey FROM nation WHERE n_regionkey = 1", select="SELECT * FROM nation"), "SELECT * FROM nation UNION ALL SELECT n_nationkey + 100, n_name, n_regionkey FROM nation WHERE n_regionkey = 1"),

@@ -202,28 +202,29 @@ class ManagedTable:
         text = " OR ".join(" AND ".join(c.sql() for c in f) for f in filters or [])
         return chosen, ScanPlan(len(chosen) - staged, total - len(chosen), staged, text)
 
-    def scan(self, where: str | Column | None = None, snapshot: Snapshot | None = None, positions: bool = False) -> DataFrame:
+    def scan(self, where: str | Column | None = None, snapshot: Snapshot | None = None, positions: bool = False, alias: str | None = None) -> DataFrame:
         """Live rows, pinned to the snapshot; with ``where`` only segments that may hold a match are read."""
         snapshot = snapshot or self.snapshot()
-        chosen, _ = self.choose(snapshot, self._pushed(where, snapshot))
+        chosen, _ = self.choose(snapshot, self._pushed(where, snapshot, alias))
         extra = [F.col("segment"), F.col("row_index")] if positions else []
-        out = self.aliased(snapshot.schema.named(self.rows(chosen, snapshot, positions), extra))
+        out = self.aliased(snapshot.schema.named(self.rows(chosen, snapshot, positions), extra), alias)
         return out.where(where) if where is not None else out
 
     to_df = scan
 
-    def aliased(self, df: DataFrame) -> DataFrame:
-        return df.alias(self.name) if self.name else df
+    def aliased(self, df: DataFrame, alias: str | None = None) -> DataFrame:
+        name = alias or self.name
+        return df.alias(name) if name else df
 
     def explain(self, where: str | Column | None = None, snapshot: Snapshot | None = None) -> ScanPlan:
         snapshot = snapshot or self.snapshot()
         return self.choose(snapshot, self._pushed(where, snapshot), True)[1]
 
-    def _pushed(self, where: str | Column | None, snapshot: Snapshot) -> list[list] | None:
+    def _pushed(self, where: str | Column | None, snapshot: Snapshot, alias: str | None = None) -> list[list] | None:
         probe = self.probe(snapshot)
         if where is None or probe is None:
             return None
-        plan = self.aliased(probe).where(where)._jdf.queryExecution().optimizedPlan()
+        plan = self.aliased(probe, alias).where(where)._jdf.queryExecution().optimizedPlan()
         return scan_filters(plan, snapshot.index[0])
 
     def row_count(self) -> int:

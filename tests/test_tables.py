@@ -357,10 +357,53 @@ def test_collated_texts_are_not_pruned_by_order(spark, tmp_path):
     assert table.scan("s = 'a'").count() == 1 and table.scan("s = 'B'").count() == 1
 
 
-def test_where_of_statements():
-    from segtable.engine import where_text
-
-    assert where_text("DELETE FROM t WHERE a = 'where (' AND b IN (SELECT x FROM u WHERE y)") == "a = 'where (' AND b IN (SELECT x FROM u WHERE y)"
-    assert where_text("UPDATE t SET a = (SELECT max(b) FROM u WHERE c), elsewhere = 1\nwhere d = 2;") == "d = 2"
-    assert where_text("DELETE FROM nowhere") is None
-    assert where_text(r"DELETE FROM t WHERE s = 'it\'s where'") == r"s = 'it\'s where'"
+def test_comments_do_not_hide_where(spark, tmp_path):
+    engine, table = made(spark, tmp_path / "t", 1)
+    for k, before in enumerate(("-- it's", "/* don't */", "-- (see", "/* where id = 1 */", "/* ` \" */")):
+        assert engine.sql(f"DELETE FROM t {before}\n WHERE id = {k}").first()[0] == 1
+    assert engine.sql("UPDATE t AS x SET score = 500, x.name = 'a where (b' -- it's (\n WHERE x.id = (SELECT max(id) FROM t)").first()[0] == 1
+    assert ids(table.scan()) == list(range(5, 100)) and [(r.id, r.name) for r in table.scan("score = 500").collect()] == [(99, "a where (b")]
+
+
+@pytest.mark.parametrize(
+    "condition,gone",
+    [
+        ("name = 'where (' OR id IN (SELECT id FROM u WHERE id < 3)", [0, 1, 2]), (r"name = 'it\'s where' OR id = 4", [4]), ("`id` = 5 AND name != 'where'", [5]), ("id = (SELECT max(id) FROM u) -- where id = 3", [99]),
+        ("EXISTS (SELECT 1 FROM u y WHERE y.id = x.id + 1 AND y.id = 5)", [4]), ("x.id = 6", [6]), ("NOT (x.id > 1)", [0, 1]), ("x.id = 7 AND x.name IS NULL", [7]), ("x.id = 8 AND x.name IS NULL", []), ("true", list(range(100))), ("false", []), ("1 = 1", list(range(100))),
+    ],
+)
+def test_conditions_as_parsed(spark, tmp_path, monkeypatch, condition, gone):
+    engine, plain = Engine(spark), rows(spark, 0, 100)
+    table = engine.attach("t", ManagedTable(spark, str(tmp_path / "t"), None))
+    spark.range(100).createOrReplaceTempView("u")
+    taken = []
+    monkeypatch.setattr(engine, "_views", lambda *a: None)
+    monkeypatch.setattr(dml, "delete", lambda t, where=None, alias=None: taken.append((t, where, alias)) or 0)
+    monkeypatch.setattr(dml, "update", lambda t, to, where=None, alias=None: taken.append((t, where, alias)) or 0)
+    engine.sql(f"DELETE FROM t AS x WHERE {condition}")
+    engine.sql(f"UPDATE t AS x SET x.score = 1, name = 'a where (b' WHERE {condition}")
+    for t, where, alias in taken:
+        matched = plain.alias(alias) if where is None else plain.alias(alias).where(where)
+        assert t is table and alias == "x" and ids(matched) == gone
+
+
+def test_statements_with_queries_named_before(spark, tmp_path):
+    engine, table = made(spark, tmp_path / "t", 1)
+    for k, text in enumerate(("WITH c AS (SELECT 1000L AS id, 'z' AS name, 1 AS score) INSERT INTO t SELECT * FROM c", "INSERT INTO t WITH c AS (SELECT 1001L AS id, 'z' AS name, 1 AS score) SELECT * FROM c")):
+        assert engine.sql(text).first()[0] == 1 and ids(table.scan("id >= 1000")) == list(range(1000, 1001 + k))
+    for text in ("WITH c AS (SELECT 1 AS id) DELETE FROM t WHERE id IN (SELECT id FROM c)", "WITH c AS (SELECT 1 AS id) UPDATE t SET score = 1 WHERE id IN (SELECT id FROM c)"):
+        with pytest.raises(Unsupported):
+            engine.sql(text)
+    with pytest.raises(InvalidArgument):
+        engine.sql("UPDATE t SET score = 1, SCORE = 2")
+    assert table.row_count() == 102 and engine.sql("DELETE FROM t").first()[0] == 102 and ids(table.scan()) == []
+
+
+def test_a_udf_prunes_nothing_and_limits_reach_the_scan(spark, tmp_path):
+    engine, table = made(spark, tmp_path / "t", 4)
+    spark.udf.register("odd", F.udf(lambda k: k % 2 == 1, "boolean"))
+    assert engine.explain("SELECT id FROM t WHERE odd(id)")["t"].pruned == 0
+    assert engine.explain("SELECT id FROM t WHERE odd(id) AND id < 100")["t"].pruned == 3
+    assert ids(engine.sql("SELECT id FROM t WHERE odd(id) AND id < 100")) == list(range(1, 100, 2))
+    plan = engine.sql("SELECT id FROM t LIMIT 7")
+    assert plan.count() == 7 and "CollectLimit 7" in plan._jdf.queryExecution().executedPlan().toString()
