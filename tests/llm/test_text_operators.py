@@ -54,6 +54,50 @@ def test_held_out_accuracy_and_misspellings(spark):
     assert near[0] > 0.7 and near[1] > 0.5 and near[2] < 0.3 and near[3] == near[4] == near[5] < 0.5
 
 
+def test_harmless_texts_of_unseen_words(spark):
+    """Random words, a language and an alphabet that training never saw, program code: under 2 % predicted; labels held out are still found."""
+    import glob
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.train(docs, labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
+    rng = random.Random(5)
+    words = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(n))
+    code = []
+    for f in sorted(glob.glob(os.path.join(os.path.dirname(os.__file__), "*.py")))[:100]:
+        with open(f, errors="replace") as file:
+            text = file.read(10_000)
+        code += [text[k : k + 2000] for k in range(0, len(text), 2000)]
+    unseen = {
+        "random": [words("abcdefghijklmnopqrstuvwxyz0123456789", 80) for _ in range(500)], "one word": [words("abcdefghijklmnopqrstuvwxyz", 1) for _ in range(500)],
+        "alphabet": [words("абвгдежзийклмнопрстуфхцчшщыьэюя", 60) for _ in range(200)], "language": [words(["ka", "ta", "lla", "ssa", "nen", "mme", "isi", "kuu", "vaa", "tö", "yy", "sta"], 70) for _ in range(200)],
+        "code": code, "numbered": ["all new words " + " ".join(f"q{k}" for k in range(80))],
+    }
+    for name, texts in unseen.items():
+        assert (model.scores(pa.array(texts)) >= 0.7).mean() < 0.02, name
+    held = docs.join(labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 == 1).where("toxic is not null"), "doc_id").toArrow()
+    found, truth = model.scores(held["text"].combine_chunks()) >= 0.7, held["toxic"].to_numpy() == 1
+    assert found[truth].mean() > 0.8 and found[~truth].mean() < 0.02
+
+
+def test_query_of_toxicity(spark):
+    rows = registered.op3_toxicity(spark, SF).collect()
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert sorted(r.doc_id for r in rows) == sorted(docs) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    by_text = defaultdict(set)
+    for r in rows:
+        by_text[docs[r.doc_id]].add(r.score)
+    assert all(len(s) == 1 for s in by_text.values())  # a score follows from the text alone
+
+
+def test_one_text_of_an_id_is_learned_from(spark):
+    docs = spark.createDataFrame([(1, "b")] * 50 + [(1, "a"), (2, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    got = toxicity.training_rows(docs, labels, "doc_id", "text", "toxic").to_pylist()
+    assert sorted((r["text"], r["__label"]) for r in got) == [("a", 1), ("c", 0)]
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 0.5), (None, "x", 0.1), (1, None, 0.5)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
