@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import remove, save
+from .scratch import hot_keys, join_hot, remove, save
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -13,15 +13,17 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Every round takes the least label over a node's links and then the label's own
     label, so distances halve; it ends when no label has changed. Labels live in
-    written tables, never on the driver. Hubs cost no more than their links: labels
-    are aggregated before they move. An empty table gives an empty one.
+    written tables, never on the driver. The links of a hub and the members of a giant
+    component are dealt into pieces. An empty table gives an empty one.
     """
     both = links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other")))
     labels, path = save(both.groupBy("id").agg(F.min("other").alias("least")).select("id", F.least("id", "least").alias("component")), "components")
+    hubs = hot_keys(both.groupBy("other").count(), ["other"])
     total = _total(labels)
     while total is not None:
-        jumped = labels.alias("l").join(labels.select(F.col("id").alias("at"), F.col("component").alias("to")), F.col("component") == F.col("at")).select("id", F.col("to").alias("component"))
-        reached = both.join(labels.select(F.col("id").alias("other"), "component"), "other").select("id", "component")
+        giants = hot_keys(labels.groupBy("component").count(), ["component"])
+        jumped = join_hot(labels, labels.select(F.col("id").alias("component"), F.col("component").alias("to")), ["component"], giants).select("id", F.col("to").alias("component"))
+        reached = join_hot(both, labels.select(F.col("id").alias("other"), "component"), ["other"], hubs).select("id", "component")
         new, new_path = save(jumped.unionByName(reached).groupBy("id").agg(F.min("component").alias("component")), "components")
         new_total = _total(new)
         remove(links.sparkSession, path)

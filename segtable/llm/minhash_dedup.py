@@ -18,8 +18,12 @@ threshold that shares no bucket is missed with a chance of about 5 in a million
 
 Cases: a null or empty text, or one without words, has no shingles and links with
 nothing; fewer words than a shingle make one shingle of them all; rows with the same
-id are one document; a row whose id is null links with nothing; an empty table stays
-empty; other columns do not matter.
+id are one document, which links by any of its texts, and each row shows the size of
+its own set; a row whose id is null links with nothing; an empty table stays empty;
+other columns do not matter.
+
+A key that holds more than a thousandth of the rows of a join (exact copies of one
+text, a bucket or a hub of thousands) is dealt into pieces, see ``join_hot``.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import bytes_of, save
+from .scratch import bytes_of, hot_keys, join_hot, save
 from .words import Words, buffers, chunks, mix, windows
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
@@ -133,25 +137,35 @@ def _texts(docs: DataFrame, ids: DataFrame, path: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if small else ids, "id")
 
 
-def _similar(n1, n2, threshold: int):
-    """Sizes that allow the threshold."""
-    return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * threshold
+def _similar(one: tuple[str, str], other: tuple[str, str], threshold: int):
+    """Sizes that allow the threshold: the smallest and the greatest set of two documents."""
+    return (F.col(one[1]) * 100 >= F.col(other[0]) * threshold) & (F.col(other[1]) * 100 >= F.col(one[0]) * threshold)
+
+
+def _each_text_once(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` with every text of the ids in ``repeated`` once for each of them."""
+    if repeated.isEmpty():
+        return docs
+    several = docs.join(repeated, "id", "left_semi").groupBy("id", F.xxhash64("text").alias("hash")).agg(F.min("text").alias("text"))
+    several, _ = save(several.select("id", "text"), "minhash-repeated")
+    return docs.join(repeated, "id", "left_anti").unionByName(several)
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, threshold: int, name: str) -> DataFrame:
     """The written pairs (hub, member) whose full sets reach the threshold, as links (a, b).
 
-    A member's set moves once for each star it is in, to its hub; a hub with very
-    many members is a skewed join that adaptive execution splits.
+    A member's set moves once for each star it is in, to its hub; the members of a
+    hub of very many are dealt into pieces.
     """
     pairs, path = save(pairs, name)
+    hot = hot_keys(pairs.groupBy("hub").count(), ["hub"])
     hubs, hubs_path = save(pairs.select(F.col("hub").alias("id")).distinct(), name + "-hubs")
     members = _sets(_texts(docs, pairs.select("hub", F.col("member").alias("id")), path), ["hub", "id"]).select("hub", "id", F.col("items").alias("theirs"))
     own = _sets(_texts(docs, hubs, hubs_path), ["id"]).select(F.col("id").alias("hub"), F.col("items").alias("own"))
-    both = members.join(own.hint("merge"), "hub")
+    both = join_hot(members, own, ["hub"], hot)
     shared = F.size(F.array_intersect("own", "theirs"))
     linked = both.where(shared * 100 >= (F.size("own") + F.size("theirs") - shared) * threshold)
-    links, _ = save(linked.select(F.col("hub").alias("a"), F.col("id").alias("b")), name + "-links")
+    links, _ = save(linked.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), name + "-links")
     return links
 
 
@@ -159,18 +173,17 @@ def _prefix_pairs(docs: DataFrame, rest: DataFrame, threshold: int) -> DataFrame
     """Pairs across components that may reach the threshold, complete for the classes of ``rest`` (id, component)."""
     rest, path = save(rest, "minhash-rest")
     sets = _sets(_texts(docs, rest, path), ["id", "component"])
-    items = sets.select("id", "component", F.size("items").alias("n"), F.explode("items").alias("item"))
+    items = sets.select("id", "component", F.size("items").alias("n"), F.xxhash64("items").alias("set"), F.explode("items").alias("item"))
     items, _ = save(items, "minhash-rest-items")
     often = items.groupBy("item").agg(F.count("*").alias("often"), (F.min("component") != F.max("component")).alias("across"))
-    order = Window.partitionBy("id").orderBy("often", "item")
-    placed = items.join(often, "item").withColumn("place", F.row_number().over(order) - 1)
+    order = Window.partitionBy("id", "set").orderBy("often", "item")
+    placed = join_hot(items, often, ["item"], hot_keys(often, ["item"], "often")).withColumn("place", F.row_number().over(order) - 1)
     need = F.ceil(F.col("n") * threshold / 100)  # shared items that a partner must have at least
     prefix = placed.where((F.col("place") <= F.col("n") - need) & F.col("across"))
-    x = prefix.select("item", *[F.col(c).alias(f"{c}1") for c in ("id", "component", "n", "place")])
-    y = prefix.select("item", *[F.col(c).alias(f"{c}2") for c in ("id", "component", "n", "place")])
-    most = 1 + F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2")) - 1  # items from here on, this one included
-    able = _similar(F.col("n1"), F.col("n2"), threshold) & (most * (100 + threshold) >= (F.col("n1") + F.col("n2")) * threshold)
-    met = x.join(y.hint("merge"), "item").where((F.col("id1") < F.col("id2")) & (F.col("component1") != F.col("component2")) & able)
+    x, y = (prefix.select("item", *[F.col(c).alias(f"{c}{k}") for c in ("id", "component", "n", "place")]) for k in (1, 2))
+    most = F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2"))  # items from here on, this one included
+    able = _similar(("n1", "n1"), ("n2", "n2"), threshold) & (most * (100 + threshold) >= (F.col("n1") + F.col("n2")) * threshold)
+    met = join_hot(x, y, ["item"], None).where((F.col("id1") < F.col("id2")) & (F.col("component1") != F.col("component2")) & able)
     return met.select(F.col("id1").alias("hub"), F.col("id2").alias("member")).distinct()
 
 
@@ -178,32 +191,57 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", thres
     """A row for each row of ``df``: id, n_shingles, component_id (least id reachable by links), kept."""
     docs = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     sketched, _ = save(sketch(df, id, text), "minhash-sketch")
-    classes = sketched.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("class"))
-    classed = sketched.join(classes, ["k1", "k2"], "left")
-    lone = classed.where("id = class").groupBy("class").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    buckets = lone.select(F.col("class").alias("id"), "n", F.explode("bands").alias("bucket"))
-    counts = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    shared, _ = save(buckets.join(counts, "bucket"), "minhash-buckets")
+    able, rest = sketched.where("n > 0 and id is not null"), sketched.where("not (n > 0 and id is not null)")
+    classes, _ = save(able.groupBy("k1", "k2").agg(F.min("id").alias("class"), F.count("*").alias("rows")), "minhash-classes")
+    copies = hot_keys(classes, ["k1", "k2"], "rows")
+    classed = join_hot(able, classes.select("k1", "k2", "class"), ["k1", "k2"], copies, "left")
+
+    # Rows that share an id are one document: its classes are linked, and rows of it without words belong to it.
+    by_id = classed.select("id", "class").unionByName(rest.where("id is not null").select("id", F.lit(None).cast("long").alias("class")))
+    by_id = by_id.groupBy("id").agg(F.count("*").alias("rows"), F.min("class").alias("least"), F.max("class").alias("most")).where("rows > 1")
+    repeated, _ = save(by_id, "minhash-repeated-ids")
+    docs = _each_text_once(docs, repeated.select("id"))
+    several = classed.select("id", "class").join(repeated.where("least < most").select("id", "least"), "id").where("class > least")
+    several, _ = save(several.select(F.col("least").alias("a"), F.col("class").alias("b")).distinct(), "minhash-same-id")
+
+    # A row for each text of a class's document: one id may have several, and each has bands of its own.
+    lone = classed.where("id = class").groupBy("id", "k1", "k2").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
+    if repeated.isEmpty():
+        lone = lone.withColumns({"low": F.col("n"), "high": F.col("n")})
+    else:
+        lone = lone.join(lone.groupBy("id").agg(F.min("n").alias("low"), F.max("n").alias("high")), "id")
+    buckets, _ = save(lone.select("id", "low", "high", F.explode("bands").alias("bucket")), "minhash-bands")
+    counts, _ = save(buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "minhash-sizes")
+    large = hot_keys(counts, ["bucket"], "size")
+    shared, _ = save(join_hot(buckets, counts, ["bucket"], large), "minhash-buckets")
 
     score = shared.groupBy("id").agg(F.sum("size").alias("score"))
-    hubs = shared.join(score, "id").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("id")).alias("least"), "n")).alias("top"))
-    stars = shared.join(hubs.select("bucket", (-F.col("top.least")).alias("hub"), F.col("top.n").alias("hub_n")), "bucket")
-    stars = stars.where((F.col("id") != F.col("hub")) & _similar(F.col("n"), F.col("hub_n"), threshold))
+    hubs = shared.join(score, "id").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("id")).alias("least"), "low", "high")).alias("top"))
+    hubs = hubs.select("bucket", (-F.col("top.least")).alias("hub"), F.col("top.low").alias("hub_low"), F.col("top.high").alias("hub_high"))
+    stars = join_hot(shared, hubs, ["bucket"], large).where((F.col("id") != F.col("hub")) & _similar(("low", "high"), ("hub_low", "hub_high"), threshold))
     links = confirmed(docs, stars.select("hub", F.col("id").alias("member")).distinct(), threshold, "minhash-stars")
-    found = connected_components(links)
+    found = connected_components(links.unionByName(several))
 
     placed = shared.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("bucket")
-    left, _ = save(placed.join(mixed, "bucket"), "minhash-left")
+    left, _ = save(join_hot(placed, mixed, ["bucket"], large), "minhash-left")
     few = left.where(F.col("size") <= SMALL_BUCKET)
-    x, y = (few.select("bucket", *[F.col(c).alias(f"{c}{k}") for c in ("id", "n", "component")]) for k in (1, 2))
-    direct = x.join(y, "bucket").where((F.col("id1") < F.col("id2")) & (F.col("component1") != F.col("component2")) & _similar(F.col("n1"), F.col("n2"), threshold))
+    x, y = (few.select("bucket", *[F.col(c).alias(f"{c}{k}") for c in ("id", "low", "high", "component")]) for k in (1, 2))
+    direct = x.join(y, "bucket").where((F.col("id1") < F.col("id2")) & (F.col("component1") != F.col("component2")) & _similar(("low1", "high1"), ("low2", "high2"), threshold))
     direct = direct.select(F.col("id1").alias("hub"), F.col("id2").alias("member")).distinct()
     larger = _prefix_pairs(docs, left.where(F.col("size") > SMALL_BUCKET).select("id", "component").distinct(), threshold)
     more = confirmed(docs, direct.unionByName(larger).distinct(), threshold, "minhash-more")
     if not more.isEmpty():
-        found = connected_components(links.unionByName(more))
-
-    out = classed.select("id", "n", "class").join(found.select(F.col("id").alias("class"), "component"), "class", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "class", "id"))
-    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+        found = connected_components(links.unionByName(more).unionByName(several))
+
+    empty = rest.select("id", "n").withColumn("class", F.lit(None).cast("long"))
+    owned = repeated.where("least is not null").select("id", "least")
+    if not owned.isEmpty():  # rows without words of a document that has words elsewhere
+        known = empty.where("id is not null")
+        known = join_hot(known.select("id", "n"), owned.withColumnRenamed("least", "class"), ["id"], hot_keys(known.groupBy("id").count(), ["id"]), "left")
+        empty = known.unionByName(empty.where("id is null"))
+    whole = classed.select("id", "n", "class").unionByName(empty.where("class is not null"))
+    by_class = hot_keys(classes.groupBy("class").agg(F.sum("rows").alias("rows")), ["class"], "rows")
+    out = join_hot(whole, found.select(F.col("id").alias("class"), "component"), ["class"], by_class, "left")
+    out = out.select("id", "n", F.coalesce("component", "class").alias("component")).unionByName(empty.where("class is null").select("id", "n", F.col("id").alias("component")))
+    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))

@@ -87,6 +87,54 @@ def test_near_duplicates_of_odd_rows(spark):
     assert minhash_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_document_links_by_any_of_its_texts(spark):
+    """Two texts of one id, each with a near copy of its own; a row without words of a document that has words."""
+    a, b = ([f"{x}{k}" for k in range(60)] for x in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "more"])), (3, " ".join([*b, "more"])), (7, None), (7, " ".join(["c", *a])), (8, ""), (8, None), (9, "short"), (4, "short"), (4, " ".join(b[:20]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {1: 1, 2: 1, 3: 1, 7: 1, 8: 8, 9: 4, 4: 4}
+    for parts in (1, 3, 7):
+        got = minhash_dedup.near_duplicates(df.repartition(parts)).collect()
+        assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(i, c, i == c) for i, c in want.items()} and len(got) == len(rows)
+        assert Counter((r.doc_id, r.n_shingles) for r in got) == Counter((i, len(shingles(t))) for i, t in rows)
+
+
+@pytest.mark.parametrize("small,broadcast", [(8, 0), (1, 1 << 20)])
+def test_near_duplicates_with_repeated_ids_and_hot_keys(spark, monkeypatch, small, broadcast):
+    """Brute force over documents of several texts, with joins dealt into pieces and by shuffle or broadcast; the same result over any partitions."""
+    from segtable.llm import scratch
+
+    monkeypatch.setattr(minhash_dedup, "SMALL_BUCKET", small)
+    monkeypatch.setattr(minhash_dedup, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(scratch, "HOT_ROWS", 3)
+    rng = random.Random(small)
+    texts = [t for _, t in near_corpus(small + 10, 6)]
+    rows = [(rng.randrange(len(texts) // 2) if rng.random() < 0.2 else k + 1000, t) for k, t in enumerate(texts)]
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(i, []).append(shingles(t))
+    near = lambda x, y: x and y and 100 * len(x & y) >= 75 * len(x | y)
+    links = [(i, j) for i in sets for j in sets if i < j and any(near(x, y) for x in sets[i] for y in sets[j])]
+    want = least(sets, links)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash_dedup.near_duplicates(df.repartition(5)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and len(got) == len(rows)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_join_of_hot_keys(spark, monkeypatch):
+    from segtable.llm import scratch
+
+    monkeypatch.setattr(scratch, "HOT_ROWS", 5)
+    left = spark.createDataFrame([(k % 7 if k % 3 else 99, k) for k in range(300)] + [(1000, 0)], "a long, v long")
+    right = spark.createDataFrame([(k, f"w{k}") for k in [*range(5), 99]], "a long, w string")
+    hot = scratch.hot_keys(left.groupBy("a").count(), ["a"])
+    assert 99 in [r.a for r in hot.collect()] and 1000 not in [r.a for r in hot.collect()]
+    for how in ("inner", "left"):
+        assert Counter(map(tuple, scratch.join_hot(left, right, ["a"], hot, how).select("a", "v", "w").collect())) == Counter(map(tuple, left.join(right, "a", how).select("a", "v", "w").collect()))
+    assert scratch.hot_keys(left.limit(0).groupBy("a").count(), ["a"]) is None
+
+
 def test_sketches_agree_as_often_as_sets_do():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 2**63, 600).astype(np.uint64))
