@@ -1,5 +1,6 @@
 """Near-duplicate documents, repeated windows and near-duplicate vectors against brute force."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -219,25 +220,75 @@ def test_near_vectors(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("cell,block", [(None, None), (40, 24)])
-def test_near_vectors_of_a_dense_label(spark, monkeypatch, cell, block):
-    if cell:
-        monkeypatch.setattr(embedding_dedup, "CELL", cell)
-        monkeypatch.setattr(embedding_dedup, "BLOCK", block)
-    rng = np.random.default_rng(6)
-    centre = rng.normal(size=64) / 8
-    dense = centre + rng.normal(size=(3000, 64)) * 0.0238
-    apart = np.repeat(rng.normal(size=(100, 64)), 5, axis=0) + rng.normal(size=(500, 64)) * 0.15
-    x = np.concatenate([dense, apart, 2 * dense[:20]]).astype(np.float32)
+def linked_by_brute_force(x):
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
-    a, b = np.nonzero(np.triu(unit @ unit.T >= 0.98, 1))
-    links = list(zip(a.tolist(), b.tolist(), strict=True))
+    links = []
+    for k in range(0, len(x), 2000):
+        a, b = np.nonzero(unit[k : k + 2000] @ unit.T >= 0.98)
+        links += [(i + k, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if i + k < j]
+    return links
+
+
+def check_vectors(spark, x, share=1.0):
+    """Results of all vectors against brute force; at least a ``share`` of the links must be found."""
+    links = linked_by_brute_force(x)
     want, count = least(range(len(x)), links), Counter(i for p in links for i in p)
     df = spark.createDataFrame([(k, v, 0) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df.repartition(4)).collect()}
-    assert got == {i: (count[i], want[i], want[i] == i) for i in range(len(x))}
+    if share == 1:
+        assert got == {i: (count[i], want[i], want[i] == i) for i in range(len(x))}
+    assert len(links) > 0 and sum(n for n, _, _ in got.values()) >= share * 2 * len(links)
+    assert all(n <= count[i] and (c == i) == kept for i, (n, c, kept) in got.items())
 
 
-def test_passes_grow_slowly():
-    made = [embedding_dedup.passes_for(n, 0.98, 64) for n in (10, 10**4, 10**6, 10**9)]
-    assert made == sorted(made) and made[-1] < 200
+def pairs_at(rng, x, cosine, n):
+    """A partner at about ``cosine`` for each of the first ``n`` rows."""
+    unit = x[:n] / np.linalg.norm(x[:n], axis=1, keepdims=True)
+    across = rng.normal(size=unit.shape)
+    across -= (across * unit).sum(1, keepdims=True) * unit
+    across /= np.linalg.norm(across, axis=1, keepdims=True)
+    return cosine * unit + math.sqrt(1 - cosine**2) * across
+
+
+@pytest.mark.parametrize("block", [2048, 24])
+def test_near_vectors_of_a_dense_label(spark, monkeypatch, block):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    n = 3000 if block > 100 else 700
+    centre = rng.normal(size=64) / 8
+    dense = centre + rng.normal(size=(n, 64)) * 0.0238
+    apart = np.repeat(rng.normal(size=(100, 64)), 5, axis=0) + rng.normal(size=(500, 64)) * 0.15
+    check_vectors(spark, np.concatenate([dense, apart, 2 * dense[:20]]).astype(np.float32))
+
+
+def test_near_vectors_of_a_narrow_cone(spark):
+    """12,300 vectors of a mean cosine of 0.965 to each other, of which 300 pairs are at 0.983."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=256)
+    centre /= np.linalg.norm(centre)
+    x = centre + rng.normal(size=(12_000, 256)) * math.sqrt((1 / 0.965 - 1) / 256)
+    x = np.concatenate([x, pairs_at(rng, x, 0.983, 300)]).astype(np.float32)
+    unit = x[:1000] / np.linalg.norm(x[:1000], axis=1, keepdims=True)
+    assert 0.96 < (unit @ unit.T).mean() < 0.97
+    check_vectors(spark, x)
+
+
+@pytest.mark.parametrize("n,window", [(6000, None), (3000, 16)])
+def test_near_vectors_that_only_passes_compare(spark, monkeypatch, n, window):
+    """Evenly spread vectors: no label is compared whole, and pairs just over the threshold meet in some pass."""
+    monkeypatch.setattr(embedding_dedup, "WINDOW", window or embedding_dedup.WINDOW)
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 48))
+    x = np.concatenate([x, pairs_at(rng, x, 0.981, n // 4)]).astype(np.float32)
+    kinds = spark.createDataFrame([(k, 1, v) for k, v in enumerate(x.tolist())], "node long, family long, vector array<float>")
+    plan = embedding_dedup._planned(kinds, 0.98, embedding_dedup.WINDOW).select("passes", "size").distinct().collect()
+    assert len(plan) == 1 and plan[0].size is None and 3 < plan[0].passes < 60
+    check_vectors(spark, x, 0.998)
+
+
+def test_passes_follow_the_bits_that_must_agree():
+    made = [embedding_dedup.passes_for(bits, 0.98) for bits in (0, 1, 8, 16, 24)]
+    assert made[0] == 1 and made == sorted(made) and made[-1] < 60
+    a = np.array([0, 5, 1 << 61, 3], np.int64)
+    b = np.array([0, 4, 0, 3 << 60], np.int64)
+    assert embedding_dedup._shared_bits(a, b).tolist() == [62, 61, 0, 0]
