@@ -197,6 +197,107 @@ def test_schemas():
     assert chat_format.faults({}, schema) == ["$.a: missing"]
 
 
+def test_schemas_in_full():
+    assert chat_format.faults(None, {"type": ["string", "null"]}) == [] and chat_format.faults(1, {"type": ["string", "null"]}) == ["$: not string or null"]
+    ref = {"$result": "a"}
+    schema = {"type": "object", "properties": {"n": {"type": "integer"}, "r": {"type": "string"}, "l": {"type": "array", "items": {"type": "number"}, "maxItems": 2}}, "additionalProperties": {"type": "boolean"}}
+    assert chat_format.faults({"n": "bad", "r": ref, "l": [1, ref, "x"], "z": 1, "y": True}, schema) == ["$.l: wrong number of items", "$.l[2]: not number", "$.n: not integer", "$.z: not boolean"]
+    assert chat_format.faults({"n": {"a": ref}}, schema) == ["$.n: not integer"]
+    assert chat_format.faults(True, {"enum": [1]}) == ["$: not in enum"] and chat_format.faults(1.0, {"const": 1}) == [] and chat_format.faults(10**400, {"type": "integer"}) == []
+    assert chat_format.faults("abc", {"pattern": "^b", "maxLength": 2}) == ["$: wrong length", "$: not of the pattern"] and chat_format.faults(5, {"exclusiveMaximum": 5}) == ["$: out of range"]
+    for bad in ({"oneOf": []}, {"type": "text"}, {"properties": {"a": {"format": "date"}}}, {"items": {"uniqueItems": True}}):
+        with pytest.raises(ValueError):
+            chat_format.check_schema(bad)
+
+
+def brute_chat(rows, tools):
+    """Links and places of messages by plain loops: (conv, turn, role, text) -> (order_turn, order_step, n_linked, repeated, cyclic)."""
+    parsed = {r: chat_format.parse(r[2], r[3], tools) for r in rows}
+    out = {}
+    for conv in {r[0] for r in rows}:
+        mine = sorted({r for r in rows if r[0] == conv}, key=lambda r: (r[1], r[2], r[3] or ""))
+        calls, results = {}, {}
+        for r in mine:
+            for k, c in enumerate(parsed[r][1]):
+                calls.setdefault(c[0], []).append((r[1], r, k))
+            if parsed[r][2] is not None:
+                results.setdefault(parsed[r][2], []).append((r[1], r))
+        first = {i: min(c, key=lambda x: x[0]) for i, c in calls.items()}
+        answer = {i: min(r, key=lambda x: x[0]) for i, r in results.items() if i in first}
+        before = {r: set() for r in mine}
+        for i, (_, r) in answer.items():
+            before[r].add(first[i][1])
+        for r in mine:
+            for c in parsed[r][1]:
+                before[r] |= {answer[i][1] for i in c[4] if i in answer}
+        place, left = {}, set(mine)
+        while True:
+            ready = [r for r in left if not before[r] & left]
+            if not ready:
+                break
+            for r in ready:
+                place[r] = max([(r[1], 0)] + [(place[b][0], place[b][1] + 1) for b in before[r]])
+            left -= set(ready)
+        for r in mine:
+            linked = sum(i in answer and first[i][1] == r for i in {c[0] for c in parsed[r][1]}) + any(a[1] == r for a in answer.values())
+            i = parsed[r][2]
+            again = any(first[c[0]][1:] != (r, k) for k, c in enumerate(parsed[r][1])) or (i in answer and answer[i][1] != r)
+            out[r] = (*place.get(r, (r[1], 0)), linked, again, r in left)
+    return out
+
+
+@pytest.mark.parametrize("short", [20_000, 3])
+def test_query_of_chats_against_loops(spark, tmp_path, monkeypatch, short):
+    """The registered query over random conversations: every turn is one message, so the first of an id is known."""
+    monkeypatch.setattr(chat_format, "SHORT", short)
+    rng, rows = random.Random(short), []
+    for conv in range(25):
+        n = rng.randint(1, 14)
+        names = [f"c{k}" for k in range(n)]
+        for turn in range(n):
+            kind = rng.random()
+            if kind < 0.45:
+                refs = {f"a{k}": {"$result": rng.choice(names)} for k in range(rng.choice([0, 1, 1, 2]))}
+                rows.append((conv, turn, "assistant", call(rng.choice(names), "fetch", {"url": "x", "headers": refs})))
+            elif kind < 0.9:
+                rows.append((conv, turn, "tool", chat_format.canonical({"tool_call_id": rng.choice(names), "content": turn})))
+            else:
+                rows.append((conv, turn, "user", f"text {turn}"))
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = registered.op5_chat_format(spark, str(tmp_path)).collect()
+    want = brute_chat(rows, registered.TOOLS)
+    by = {r[:2]: want[r] for r in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.order_turn, r.order_step, r.n_linked, r.repeated, r.problem == "cycle") == by[r.conv_id, r.turn], (r.conv_id, r.turn)
+        assert not r.n_invalid
+
+
+def test_long_chain_of_calls_in_few_jobs(spark):
+    """500 calls, each with the result of the next one's call: levels of one conversation cost no job each."""
+    n, rows = 500, []
+    for k in range(n):
+        rows += [(1, 2 * k, "assistant", call(f"c{k}", "fetch", {"url": {"$result": f"c{k + 1}"}})), (1, 2 * k + 1, "tool", chat_format.canonical({"tool_call_id": f"c{k}", "content": k}))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    spark.sparkContext.setJobGroup("chain", "chain")
+    try:
+        got = chat_format.format_chat(df, registered.TOOLS).collect()
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("chain")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    order = [r.turn for r in sorted(got, key=lambda r: (r.order_turn, r.order_step))]
+    assert order == [t for k in reversed(range(n)) for t in (2 * k, 2 * k + 1)] and len(jobs) < 40
+
+
+def test_a_valid_call_of_a_union_type_is_kept(spark):
+    tools = {"f": {"type": "object", "properties": {"a": {"type": ["string", "null"]}}}}
+    df = spark.createDataFrame([(1, 0, "assistant", call("x", "f", {"a": None}) + call("y", "f", {"a": 1}))], "conv_id long, turn long, role string, text string")
+    r = chat_format.format_chat(df, tools).first()
+    assert (r.n_calls, r.n_invalid, r.problem) == (2, 1, None)
+    with pytest.raises(ValueError):
+        chat_format.format_chat(df, {"f": {"anyOf": []}})
+
+
 # --- mixing ---
 
 
