@@ -5,7 +5,10 @@ its own: a token that ends words matches only there, any other only elsewhere. E
 node has a failure link and the number of pieces popped on following it, both computed once,
 so a word is counted in time linear in its length: on a symbol without an edge the
 count grows by the popped pieces and the state moves along the link. All distinct
-words of a chunk step through the automaton together in numpy.
+words of a chunk step through the automaton together in numpy. A word of more than
+``LONG`` bytes is cut into segments that step together too: each first as if it began at
+the root, then again from the state in which the one before ends, until that run stands
+where the first one stood at the same byte, as from there on both are the same.
 
 Words are runs of bytes other than U+0020 and U+0009 to U+000D, with A-Z lowered.
 A word that the vocabulary cannot cover counts as one unknown token.
@@ -31,6 +34,8 @@ from .words import Words, buffers, chunks
 
 #: Added to a byte that ends a word.
 FINAL = 256
+#: Bytes of a word that is cut, and of a segment.
+LONG, SEGMENT = 256, 128
 
 
 class LongestMatch:
@@ -71,6 +76,13 @@ class LongestMatch:
 
     def counts(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Tokens of each word ``data[start:end]``; 1 where no cover exists."""
+        out, long = np.empty(len(start), np.int64), end - start > LONG
+        out[~long] = self._short(data, start[~long], end[~long])
+        if long.any():
+            out[long] = self._long(data, start[long], end[long])
+        return out
+
+    def _short(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         order = np.argsort(start - end, kind="stable")  # longest first: those still running are a prefix
         begin, size = start[order], (end - start)[order]
         state, count, bad = np.zeros(len(order), np.int32), np.zeros(len(order), np.int64), np.zeros(len(order), bool)
@@ -79,16 +91,67 @@ class LongestMatch:
             symbol = data[begin[:live] + step].astype(np.int32)
             symbol[np.searchsorted(-size, -(step + 1), "left") :] += FINAL
             self._move(state, count, bad, np.flatnonzero(~bad[:live]), symbol)
+        self._finish(state, count, bad)
+        out = np.empty(len(order), np.int64)
+        out[order] = np.where(bad, 1, count)
+        return out
+
+    def _long(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        parts = -(-(end - start) // SEGMENT)
+        word = np.repeat(np.arange(len(start)), parts)
+        k = np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = start[word] + k * SEGMENT
+        stop = np.minimum(begin + SEGMENT, end[word])
+        size, ends = stop - begin, stop == end[word]
+        n = len(word)
+        states, counts = np.empty((SEGMENT, n), np.int32), np.empty((SEGMENT, n), np.int64)
+
+        def symbols(of: np.ndarray, step: int) -> np.ndarray:
+            return data[begin[of] + step].astype(np.int32) + FINAL * (ends[of] & (size[of] == step + 1))
+
+        state, count, bad = np.zeros(n, np.int32), np.zeros(n, np.int64), np.zeros(n, bool)
+        symbol = np.zeros(n, np.int32)
+        for step in range(SEGMENT):
+            live = np.flatnonzero(~bad & (step < size))
+            symbol[live] = symbols(live, step)
+            self._move(state, count, bad, live, symbol)
+            states[step], counts[step] = state, count
+        first, entry, total = state.copy(), np.zeros(n, np.int32), count.copy()
+        while True:  # every round settles at least one more segment of each word
+            came = np.where(k == 0, 0, np.roll(state, 1))
+            live = np.flatnonzero(came != entry)
+            if not len(live):
+                break
+            entry[live] = came[live]
+            now, gone, lost = entry.copy(), np.zeros(n, np.int64), entry < 0
+            state[live], total[live] = first[live], 0  # as after meeting the first run
+            for step in range(SEGMENT):
+                live = live[(step < size[live]) & ~lost[live]]
+                symbol[live] = symbols(live, step)
+                self._move(now, gone, lost, live, symbol)
+                met = now[live] == states[step, live]
+                at = live[met]
+                total[at] = gone[at] + count[at] - counts[step, at]
+                live = live[~met]
+                over = live[(size[live] == step + 1) | lost[live]]
+                state[over], total[over] = now[over], gone[over]
+                if not len(live):
+                    break
+            state[entry < 0] = -1
+        last = np.cumsum(parts) - 1
+        bad = np.add.reduceat((state < 0).astype(np.int64), last - parts + 1) > 0
+        out, tail = np.add.reduceat(total, last - parts + 1), state[last].copy()
+        self._finish(tail, out, bad)
+        return np.where(bad, 1, out)
+
+    def _finish(self, state, count, bad) -> None:
+        """Count the pieces that the ends of words still hold."""
         todo = np.flatnonzero(~bad & (state != 0))
         while len(todo):
             count[todo] += self._pops[state[todo]]
             state[todo] = self._link[state[todo]]
-            lost = todo[state[todo] < 0]
-            bad[lost] = True
+            bad[todo[state[todo] < 0]] = True
             todo = todo[state[todo] > 0]
-        out = np.empty(len(order), np.int64)
-        out[order] = np.where(bad, 1, count)
-        return out
 
     def _move(self, state, count, bad, todo, symbol) -> None:
         while len(todo):
