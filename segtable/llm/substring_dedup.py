@@ -40,6 +40,8 @@ from .words import Words, buffers, chunks, mix, windows
 WINDOW, PERIOD = 35, 21
 #: Hashes a mapping task holds before it sends them.
 HELD = 400_000
+#: Input bytes for each bucket of an exchange, which a task holds at once; the most buckets; and a size that stands for an unknown one.
+BUCKET_BYTES, MOST_BUCKETS, UNKNOWN_BYTES = 64 << 20, 1 << 20, 1 << 60
 #: Spans written in at most so many bytes go to the rows by broadcast; more, by a join that shuffles both.
 BROADCAST_BYTES = 8 << 20
 
@@ -136,8 +138,14 @@ def _spans(before: int, after: int):
     return run
 
 
-def _exchange(sent: DataFrame, before: int, after: int, name: str) -> tuple[DataFrame, str]:
-    parts = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _buckets(df: DataFrame) -> int:
+    """Buckets of an exchange: the session's shuffle partitions, or more where the input's size is known and they would be large."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(parts, min(size // BUCKET_BYTES, MOST_BUCKETS)) if size < UNKNOWN_BYTES else parts
+
+
+def _exchange(sent: DataFrame, before: int, after: int, parts: int, name: str) -> tuple[DataFrame, str]:
     found = sent.repartitionById(parts, "bucket").mapInArrow(_repeats(parts), _SENT_DDL)
     return save(found.repartitionById(parts, "bucket").mapInArrow(_spans(before, after), "__key long, spans array<int>"), name)
 
@@ -210,13 +218,13 @@ def _joined_spans(keyed: DataFrame, spans: DataFrame, path: str, how: str) -> Da
 
 def repeated_spans(df: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, period: int = PERIOD) -> DataFrame:
     """``df`` with ``spans`` (array<int>): first and past-the-last word of each repeated run in turn; null where none repeats."""
-    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = _buckets(df.select(text))
     keyed = df.drop("spans").withColumn("__key", F.xxhash64(F.col(id), F.col(text)))
     narrow = keyed.select("__key", F.col(text).alias("__text"))
     anchors = narrow.mapInArrow(_map(_anchors(window, period), count), _SENT_DDL)
-    near, near_path = _exchange(anchors, period - 1, 0, "anchor-spans")
+    near, near_path = _exchange(anchors, period - 1, 0, count, "anchor-spans")
     around = _joined_spans(narrow, near, near_path, "inner").select("__key", "__text", "spans")
-    full, full_path = _exchange(around.mapInArrow(_map(_whole_windows(window), count), _SENT_DDL), 0, window - 1, "window-spans")
+    full, full_path = _exchange(around.mapInArrow(_map(_whole_windows(window), count), _SENT_DDL), 0, window - 1, count, "window-spans")
     return _joined_spans(keyed, full, full_path, "left").drop("__key")
 
 

@@ -186,6 +186,25 @@ def test_repeated_windows(spark, window, period):
     assert substring_dedup.repeated_spans(df.limit(0), window=window, period=period).count() == 0
 
 
+@pytest.mark.parametrize("broadcast,bucket", [(0, 1 << 10), (8 << 20, 64 << 20)])
+def test_repeated_windows_by_shuffle_and_broadcast(spark, tmp_path, monkeypatch, broadcast, bucket):
+    """Both ways to bring spans to rows, and more buckets than shuffle partitions, from files whose size is known."""
+    monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", bucket)
+    rng = random.Random(3)
+    passages = [[f"p{rng.randrange(50)}" for _ in range(40)] for _ in range(3)]
+    texts = []
+    for _ in range(80):
+        w = [f"u{rng.randrange(10**6)}" for _ in range(rng.randint(0, 60))]
+        w[len(w) // 2 : len(w) // 2] = rng.choice([[], rng.choice(passages)])
+        texts.append(" ".join(w))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    assert (substring_dedup._buckets(df) > 4) == (bucket < 1 << 20)
+    got = {r.doc_id: r.text.encode().split() for r in substring_dedup.without_repeats(substring_dedup.repeated_spans(df)).collect()}
+    assert got == dict(enumerate(brute_spans(texts, 35)))
+
+
 def test_covers():
     for period in (1, 2, 3, 7, 13, 21):
         cover = substring_dedup.difference_cover(period)
