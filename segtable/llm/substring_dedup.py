@@ -141,7 +141,7 @@ def _spans(before: int, after: int):
 def _buckets(df: DataFrame) -> int:
     """Buckets of an exchange: the session's shuffle partitions, or more where the input's size is known and they would be large."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(parts, min(size // BUCKET_BYTES, MOST_BUCKETS)) if size < UNKNOWN_BYTES else parts
 
 
