@@ -39,9 +39,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     gone, path = save(found.where("not kept").select("doc_id").distinct(), "pipeline-gone")
     small = bytes_of(spark, path) <= minhash_dedup.BROADCAST_BYTES
     kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if not repeated.isEmpty():  # the same id more than once: texts of one id are one document
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not repeated.isEmpty():  # rows of one id are one document: the one of least hash stays, and of equal rows one
+        several = kept.join(repeated, "doc_id", "left_semi").withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+        least, _ = save(several.groupBy("doc_id").agg(F.min("__row").alias("__row")), "pipeline-least")
+        several = several.join(least, ["doc_id", "__row"], "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+        kept = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(several)
     return kept.select(*docs.columns)
 
 

@@ -270,15 +270,30 @@ class ManagedTable:
         positions.select("segment", "row_index").write.parquet(self.storage.path(at))
         return at, self.spark.read.parquet(self.storage.path(at)).count()
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Remove what the newest ``keep`` commits do not refer to; returns folders removed.
+    def pin(self, txn: int | None = None, name: str | None = None) -> str:
+        """Keep a snapshot (the newest by default) readable through every vacuum until ``unpin``; returns the pin's name."""
+        snapshot, name = self.snapshot(txn), name or uuid.uuid4().hex
+        if not self.storage.create(f"_pins/{name}", str(snapshot.txn).encode(), False):
+            raise InvalidArgument(f"a pin {name!r} exists")
+        return name
 
-        Older snapshots stop being readable, and so does what a writer has written but not
-        committed yet: run it while nobody writes.
+    def unpin(self, name: str) -> None:
+        self.storage.delete(f"_pins/{name}")
+
+    def pins(self) -> dict[str, int]:
+        """Pinned snapshots by the names of their pins."""
+        return {n: int(self.storage.read(f"_pins/{n}")) for n in self.storage.names("_pins") if not n.startswith(".")}
+
+    def vacuum(self, keep: int = 1, min_age_s: float = 0) -> int:
+        """Remove what neither the newest ``keep`` commits nor a pinned snapshot refers to; returns folders removed.
+
+        What is younger than ``min_age_s`` stays, as a writer may be about to commit it or a
+        reader may have opened it just before; with 0 run it while nobody else uses the table.
         """
         self.writable()
-        txns = log.commits(self.storage)
-        kept = [log.at(self.storage, t) for t in txns[-keep:]]
+        txns, pinned = log.commits(self.storage), set(self.pins().values())
+        held = [t for t in txns if t in pinned or t in txns[-keep:] or self.storage.age_ms(f"_log/{t:020d}.json") < min_age_s * 1000]
+        kept = [log.at(self.storage, t) for t in held]
         index, deletes = {p for s in kept for p in s.index}, {p for s in kept for p in s.deletes}
         folders: set[str] = set()
         for s in kept:
@@ -286,10 +301,10 @@ class ManagedTable:
         removed = 0
         for top, live in (("index", index), ("deletes", deletes), ("data", folders)):
             for n in self.storage.names(top):
-                if f"{top}/{n}" not in live:
+                if f"{top}/{n}" not in live and self.storage.age_ms(f"{top}/{n}") >= min_age_s * 1000:
                     self.storage.delete(f"{top}/{n}")
                     removed += 1
-        for t in txns[:-keep]:
+        for t in set(txns) - set(held):
             self.storage.delete(f"_log/{t:020d}.json")
         return removed
 

@@ -7,14 +7,18 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from .errors import InvalidArgument
+
 _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset, as in tests."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset and all runs on one machine, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise InvalidArgument("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="segtable-shared-"))
     return _own[0]

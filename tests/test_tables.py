@@ -407,3 +407,26 @@ def test_a_udf_prunes_nothing_and_limits_reach_the_scan(spark, tmp_path):
     assert ids(engine.sql("SELECT id FROM t WHERE odd(id) AND id < 100")) == list(range(1, 100, 2))
     plan = engine.sql("SELECT id FROM t LIMIT 7")
     assert plan.count() == 7 and "CollectLimit 7" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vacuum_keeps_pinned_and_young_snapshots(spark, tmp_path):
+    _, table = made(spark, tmp_path / "t", 2)
+    before = table.snapshot()
+    pin = table.pin()
+    dml.delete(table, "id < 50")
+    maintenance.rewrite_all(table)
+    assert table.vacuum(min_age_s=3600) == 0 and table.vacuum() > 0
+    assert table.pins() == {pin: before.txn} and ids(table.scan(snapshot=before)) == list(range(200)) and ids(table.scan()) == list(range(50, 200))
+    table.unpin(pin)
+    assert table.vacuum() > 0 and table.pins() == {} and ids(table.scan()) == list(range(50, 200))
+    assert log.commits(table.storage) == [table.snapshot().txn]
+
+
+def test_no_local_folder_stands_in_on_a_cluster():
+    from types import SimpleNamespace
+
+    from segtable import workspace
+
+    unset = SimpleNamespace(get=lambda key, default=None: default)
+    with pytest.raises(InvalidArgument):
+        workspace.shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://host:7077")))
