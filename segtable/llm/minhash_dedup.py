@@ -195,6 +195,8 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", thres
     classes, _ = save(able.groupBy("k1", "k2").agg(F.min("id").alias("class"), F.count("*").alias("rows")), "minhash-classes")
     copies = hot_keys(classes, ["k1", "k2"], "rows")
     classed = join_hot(able, classes.select("k1", "k2", "class"), ["k1", "k2"], copies, "left")
+    # Read several times below, so written; bands are needed of a class's own document only.
+    classed, _ = save(classed.select("id", "n", "k1", "k2", "class", F.when(F.col("id") == F.col("class"), F.col("bands")).alias("bands")), "minhash-classed")
 
     # Rows that share an id are one document: its classes are linked, and rows of it without words belong to it.
     by_id = classed.select("id", "class").unionByName(rest.where("id is not null").select("id", F.lit(None).cast("long").alias("class")))
