@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument, SchemaMismatch
 from ..sources.log import Snapshot
-from ..sources.table import ManagedTable
+from ..sources.table import CHOSEN, ManagedTable
 from .writing import committed, replaced
 
 
@@ -28,7 +28,7 @@ def delete(table: ManagedTable, where: str | Column | None = None, alias: str |
             counted[0] = base.live_rows
             return {"index": (), "deletes": (), "rows": 0, "deleted": 0, "staged_bytes": 0, "staged_files": 0} if base.rows else None
         at, counted[0] = table.write_deletes(_matching(table, base, where, alias))
-        return {"deletes": (*base.deletes, at), "deleted": base.deleted + counted[0]} if counted[0] else None
+        return table.add_deletes(base, at, counted[0]) if counted[0] else None
 
     committed(table, attempt)
     return counted[0]
@@ -67,7 +67,7 @@ def update(table: ManagedTable, assignments: dict[str, str | Column], where: str
         finally:
             table.storage.delete(kept)
         return {
-            "deletes": (*base.deletes, at), "deleted": base.deleted + counted[0], "index": (*base.index, index), "rows": base.rows + n,
+            **table.add_deletes(base, at, counted[0]), "index": (*base.index, index), "rows": base.rows + n,
             "staged_bytes": base.staged_bytes + size, "staged_files": base.staged_files + files,
         }
 
@@ -93,7 +93,7 @@ def delete_positions(table: ManagedTable, positions: DataFrame) -> int:
 
     def attempt(base: Snapshot) -> dict | None:
         at, counted[0] = _new_deletes(table, base, positions)
-        return {"deletes": (*base.deletes, at), "deleted": base.deleted + counted[0]} if counted[0] else None
+        return table.add_deletes(base, at, counted[0]) if counted[0] else None
 
     committed(table, attempt)
     return counted[0]
@@ -108,7 +108,7 @@ def update_rows(table: ManagedTable, positions: DataFrame, rows: DataFrame) -> i
         index, n, size, files = table.write_files(base.schema.stored(rows), True, table.options, base.schema)
         counted[0] = max(gone, n)
         return {
-            "deletes": (*base.deletes, at), "deleted": base.deleted + gone, "index": (*base.index, index), "rows": base.rows + n,
+            **table.add_deletes(base, at, gone), "index": (*base.index, index), "rows": base.rows + n,
             "staged_bytes": base.staged_bytes + size, "staged_files": base.staged_files + files,
         } if counted[0] else None
 
@@ -121,9 +121,9 @@ def delete_segments(table: ManagedTable, segments: list[str]) -> int:
     counted = [0]
 
     def attempt(base: Snapshot) -> dict | None:
-        gone = table.index(base).where(F.col("segment").isin(segments)).select("segment", "path", "staged").collect()
+        gone = table.index(base).where(F.col("segment").isin(segments)).select(*CHOSEN).collect()
         counted[0] = len(gone)
-        return replaced(table, base, gone, []) if gone else None
+        return replaced(table, base, gone, [], 0) if gone else None
 
     committed(table, attempt)
     return counted[0]

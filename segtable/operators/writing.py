@@ -12,13 +12,15 @@ from ..errors import WriterLocked
 from ..functions.order_key import code, zorder
 from ..sources import log
 from ..sources.log import Snapshot
-from ..sources.table import ManagedTable
+from ..sources.table import CHOSEN, ManagedTable, index_schema
 
 #: Keys that a layout samples to cut equal segments: all of them in a small table, some hundreds a segment in a large one.
 SAMPLES, LEAST_SAMPLES = 200_000, 200
 _SAMPLE_CONF = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
 #: Times a write starts afresh after another writer was first.
 ATTEMPTS = 20
+#: Parts of an index that are merged into one, and values that a condition lists.
+MOST_PARTS, LISTED = 512, 10_000
 
 
 def committed(table: ManagedTable, attempt: Callable[[Snapshot], dict | None]) -> Snapshot | None:
@@ -102,25 +104,47 @@ def rewrite(table: ManagedTable, base: Snapshot, chosen: list, schema=None, conv
     return at, n
 
 
-def replaced(table: ManagedTable, base: Snapshot, gone: list, new: list[str]) -> dict:
-    """Changes that take index rows ``gone`` out, bring the index folders ``new`` in, and drop deletes of what is gone."""
+def replaced(table: ManagedTable, base: Snapshot, gone: list, new: list[str], added: int) -> dict:
+    """Changes that take index rows ``gone`` out, bring the index folders ``new`` of ``added`` rows in, and drop deletes of what is gone.
+
+    Only index files that name a gone segment are written anew, so a small change of a large
+    table costs a small write; once the index has ``MOST_PARTS`` parts they become one.
+    """
     names = {r.segment for r in gone}
-    whole = table.index(base)
-    kept = whole.where(~F.col("segment").isin(list(names))) if len(names) < 10_000 else whole.join(table.spark.createDataFrame([(n,) for n in names], "segment string"), "segment", "left_anti")
-
-
-    at = f"index/{uuid.uuid4().hex}"
-    kept.coalesce(max(1, len(base.index) // 64)).write.parquet(table.storage.path(at))
-    left = table.spark.read.parquet(table.storage.path(at)).agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("staged"), F.col("bytes"))), F.lit(0)), F.count_if("staged")).first()
-    index = (*([at] if left[0] else []), *new)
-    deletes, deleted = (), 0
-    if base.deletes:
-        vectors = table.delete_vectors(base)
-        still = vectors.join(table.spark.createDataFrame([(n,) for n in names], "segment string"), "segment", "left_anti")
-        path, deleted = table.write_deletes(still)
+    is_gone = _in(table, "segment", names)
+    raw = table.spark.read.schema(index_schema(base.schema))
+    parts = list(base.index)
+    if len(parts) < MOST_PARTS:
+        named = is_gone(raw.parquet(*[table.storage.path(p) for p in parts]).select("segment", F.col("_metadata.file_path").alias("file")), "left_semi")
+        hit = {"/".join(r.file.split("/")[-2:]) for r in named.select("file").distinct().collect()}
+        files = [(p, [f"{p}/{n}" for n in table.storage.sizes(p) if n.endswith(".parquet")] if p.count("/") == 1 else [p]) for p in parts]
+        touched = [f for _, fs in files for f in fs if f.removeprefix("index/") in hit]
+        parts = [u for p, fs in files for u in ([p] if not set(fs) & set(touched) else [f for f in fs if f not in touched])]
+    else:
+        touched, parts = parts, []
+    if touched:
+        at = f"index/{uuid.uuid4().hex}"
+        is_gone(raw.parquet(*[table.storage.path(p) for p in touched]), "left_anti").coalesce(-(-len(touched) // 16)).write.parquet(table.storage.path(at))
+        if not raw.parquet(table.storage.path(at)).isEmpty():
+            parts.append(at)
+    deletes, deleted = base.deletes, base.deleted
+    if deletes and names & table.dirty(base):
+        path, deleted = table.write_deletes(is_gone(table.delete_vectors(base), "left_anti"))
         deletes = (path,) if deleted else ()
-    rows = sum(table.spark.read.parquet(table.storage.path(p)).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0] for p in index)
-    return {"index": index, "deletes": deletes, "deleted": deleted, "rows": int(rows), "staged_bytes": int(left[1]), "staged_files": int(left[2])}
+    staged = [r for r in gone if r.staged]
+    return {
+        "index": (*parts, *new), "deletes": deletes, "deleted": deleted, "rows": base.rows - sum(r.rows for r in gone) + added,
+        "staged_bytes": base.staged_bytes - sum(r.bytes for r in staged), "staged_files": base.staged_files - len(staged),
+    }
+
+
+def _in(table: ManagedTable, column: str, values: set[str]):
+    """A function that keeps (``left_semi``) or drops (``left_anti``) rows with one of these values: by a list of bounded length, else by a join."""
+    if len(values) < LISTED:
+        listed = F.col(column).isin(list(values))
+        return lambda df, how: df.where(listed if how == "left_semi" else ~listed)
+    wanted = table.spark.createDataFrame([(v,) for v in values], f"{column} string")
+    return lambda df, how: df.join(wanted, column, how)
 
 
 def flush(table: ManagedTable) -> int:
@@ -128,11 +152,11 @@ def flush(table: ManagedTable) -> int:
     moved = [0]
 
     def attempt(base: Snapshot) -> dict | None:
-        staged = table.index(base).where("staged").select("segment", "path", "staged").collect()
+        staged = table.index(base).where("staged").select(*CHOSEN).collect()
         if not staged:
             return None
         at, moved[0] = rewrite(table, base, staged)
-        return replaced(table, base, staged, [at] if at else [])
+        return replaced(table, base, staged, [at] if at else [], moved[0])
 
     committed(table, attempt)
     return moved[0]

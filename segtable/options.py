@@ -10,12 +10,16 @@ from .errors import InvalidArgument
 ROW_GROUP_ROWS, MIN_ROW_GROUP_ROWS, PARTS = 131072, 8192, 8
 CODECS = {"none": "none", "auto": "lz4_raw", "lz4": "lz4_raw", "zstd": "zstd", "snappy": "snappy"}
 
+DURABILITY = ("none", "os", "full")
+
 
 @dataclass(frozen=True)
 class TableOptions:
     """What shapes a segment counts when the segment is written; reopening changes nothing that exists.
 
-    ``bloom_columns`` and ``trigram_columns`` name the filtered columns; ("*",) means all.
+    ``durability`` says how a commit reaches the disk: "none" (not synced), "os" (synced) or
+    "full" (synced, read back and compared). ``verify_checksums`` has readers check the checksum
+    of every Parquet page. ``bloom_columns`` and ``trigram_columns`` name the filtered columns; ("*",) means all.
     """
 
     staged_max_bytes: int = 64 << 20
@@ -30,12 +34,15 @@ class TableOptions:
     bloom_columns: tuple[str, ...] = ()
     trigram_columns: tuple[str, ...] = ()
     bloom_bits_per_value: int = 10
-    durable: bool = True
+    durability: str = "os"
+    verify_checksums: bool = True
     read_only: bool = False
 
     def __post_init__(self):
         if self.compression not in CODECS:
             raise InvalidArgument(f"unknown compression {self.compression!r}")
+        if self.durability not in DURABILITY:
+            raise InvalidArgument(f"unknown durability {self.durability!r}")
         if self.row_group_rows < 0 or self.min_row_group_rows < 0 or self.bloom_bits_per_value < 1:
             raise InvalidArgument("sizes must not be negative")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,13 +25,17 @@ from . import log
 from .filters import segment_filters
 from .log import Snapshot, Storage
 
-#: Longest text or bytes kept as a bound; of longer ones the least is cut and the greatest unknown.
+#: Longest text or bytes kept as a bound; of longer ones the least is cut and the greatest cut and raised.
 BOUND_LENGTH = 64
 #: An index of at most so many bytes of Parquet is held by the driver, for as many snapshots.
 SMALL_INDEX, KEPT_INDEXES = 4 << 20, 4
 #: Delete vectors of at most so many rows are broadcast to a scan; beyond, both sides are shuffled.
 BROADCAST_DELETES = 2_000_000
-INDEX_BASE = (("segment", T.StringType()), ("path", T.StringType()), ("rows", T.LongType()), ("bytes", T.LongType()), ("staged", T.BooleanType()))
+#: Folders of delete vectors that a snapshot may have before they are merged.
+MERGE_DELETES = 16
+#: What is asked of a segment that will be read.
+CHOSEN = ("segment", "path", "rows", "bytes", "staged", "siblings")
+INDEX_BASE = (("segment", T.StringType()), ("path", T.StringType()), ("rows", T.LongType()), ("bytes", T.LongType()), ("staged", T.BooleanType()), ("siblings", T.LongType()))
 
 
 def bounded(kind: T.DataType) -> bool:
@@ -69,7 +73,7 @@ class ManagedTable:
         self.spark, self.storage = spark, Storage(spark, path)
         self._options = options
         self._indexes: dict[tuple, DataFrame] = {}
-        self._plans: dict[tuple, DataFrame] = {}
+        self._plans: dict[tuple, object] = {}
         self.name: str | None = None  # what predicates may qualify columns with
 
     # --- opening ---
@@ -128,13 +132,17 @@ class ManagedTable:
         key = (snapshot.index, tuple(schema.fieldNames()))
         if key not in self._indexes:
             whole = self.spark.read.schema(schema).parquet(*[self.storage.path(p) for p in snapshot.index])
-            small = sum(sum(self.storage.sizes(p).values()) for p in snapshot.index) <= SMALL_INDEX
+            small = self.held(snapshot)
             # A small index becomes a local relation: the optimizer filters it without a job. Commits never change, so it stays right.
             while len(self._indexes) >= KEPT_INDEXES:
                 self._indexes.pop(next(iter(self._indexes)))
             self._indexes[key] = self._held(whole.toArrow(), schema) if small else whole
         return self._indexes[key]
 
+    def held(self, snapshot: Snapshot) -> bool:
+        """Whether the driver holds this snapshot's index."""
+        return self._once(("held", snapshot.index), lambda: sum(sum(self.storage.sizes(p).values()) for p in snapshot.index) <= SMALL_INDEX)
+
     def _held(self, rows: pa.Table, schema: T.StructType) -> DataFrame:
         """A small index without the statistics that none of its segments has: a verdict need not ask for them."""
         base = {n for n, _ in INDEX_BASE}
@@ -145,18 +153,30 @@ class ManagedTable:
         """Physical rows of data files."""
         if not paths:
             return self.spark.createDataFrame([], schema.physical())
-        return self.spark.read.schema(schema.physical()).parquet(*[self.storage.path(p) for p in paths])
+        return self._reader(schema).parquet(*[self.storage.path(p) for p in paths])
+
+    def _reader(self, schema: TableSchema):
+        return self.spark.read.schema(schema.physical()).option("parquet.page.verify-checksum.enabled", str(self.options.verify_checksums).lower())
 
     def delete_vectors(self, snapshot: Snapshot) -> DataFrame:
-        return self.spark.read.schema("segment string, row_index long").parquet(*[self.storage.path(p) for p in snapshot.deletes])
+        return self.spark.read.schema("segment string, row_index long").parquet(*[self.storage.path(f"{p}/rows") for p in snapshot.deletes])
+
+    def delete_counts(self, snapshot: Snapshot) -> DataFrame:
+        """Deleted rows of each segment that has any, from the counts kept beside the vectors."""
+        counts = self.spark.read.schema("segment string, gone long").parquet(*[self.storage.path(f"{p}/counts") for p in snapshot.deletes])
+        return counts.groupBy("segment").agg(F.sum("gone").alias("gone"))
+
+    def dirty(self, snapshot: Snapshot) -> set[str]:
+        """Segments with deleted rows."""
+        return self._once(("dirty", snapshot.deletes), lambda: {r.segment for r in self.delete_counts(snapshot).select("segment").collect()})
 
     def rows(self, chosen: list, snapshot: Snapshot, positions: bool = False) -> DataFrame:
         """Live physical rows of index rows ``chosen``; with ``positions``, their file and place too."""
         schema = snapshot.schema
         dirty: set[str] = set()
         if snapshot.deletes and chosen:
-            dirty = {r.segment for r in self.delete_vectors(snapshot).select("segment").distinct().collect()}
-        clean = [r.path for r in chosen if r.segment not in dirty]
+            dirty = self.dirty(snapshot)
+        clean = units([r for r in chosen if r.segment not in dirty])
         touched = [r.path for r in chosen if r.segment in dirty]
         place = [F.col("_metadata.file_name").alias("segment"), F.col("_metadata.row_index").alias("row_index"), F.col("_metadata.file_path").alias("file")]
         read = lambda paths, more: self.files(paths, schema).select(*schema.physical().fieldNames(), *more)
@@ -181,14 +201,27 @@ class ManagedTable:
 
     def whole(self, snapshot: Snapshot) -> DataFrame:
         """All live rows, for queries without a filter."""
-        return self._once(("whole", snapshot.txn), lambda: snapshot.schema.named(self.rows(self.choose(snapshot, None)[0], snapshot)))
-
-    def _once(self, key: tuple, make) -> DataFrame:
-        """A plan over a snapshot, made once: files never change."""
+        return self._once(("whole", snapshot.txn), lambda: snapshot.schema.named(self._everything(snapshot)))
+
+    def _everything(self, snapshot: Snapshot) -> DataFrame:
+        """All live physical rows. Without deletes a folder whose segments all live is read as a folder, so only folders come to the driver."""
+        if snapshot.deletes or not snapshot.index:
+            return self.rows(self.choose(snapshot, None)[0], snapshot)
+        index = self.index(snapshot).withColumn("folder", F.regexp_extract("path", "^(.*)/", 1))
+        if self.held(snapshot):
+            return self.files(units(index.select("path", "siblings").collect()), snapshot.schema)
+        folders = index.groupBy("folder").agg((F.count("*") == F.max("siblings")).alias("full"))
+        full = [r.folder for r in folders.where("full").select("folder").collect()]
+        parts = index.join(folders.where("not coalesce(full, false)"), "folder").select("path").collect()
+        return self.files([*full, *(r.path for r in parts)], snapshot.schema)
+
+    def _once(self, key: tuple, make):
+        """What is known of a snapshot, found once: files never change."""
         if key not in self._plans:
-            while len(self._plans) >= 2 * KEPT_INDEXES:
+            made = make()  # which may ask for other things itself
+            while len(self._plans) >= 4 * KEPT_INDEXES:
                 self._plans.pop(next(iter(self._plans)))
-            self._plans[key] = make()
+            self._plans[key] = made
         return self._plans[key]
 
     def choose(self, snapshot: Snapshot, filters: list[list] | None, counted: bool = False) -> tuple[list, ScanPlan]:
@@ -196,7 +229,7 @@ class ManagedTable:
         index = self.index(snapshot)
         needed = index if not filters else survivors(index, filters)
         # Paths of the segments to be read: that list is what a file scan is made of.
-        chosen = needed.select("segment", "path", "staged").collect()
+        chosen = needed.select(*CHOSEN).collect()
         total = index.count() if counted and filters else len(chosen)
         staged = sum(r.staged for r in chosen)
         text = " OR ".join(" AND ".join(c.sql() for c in f) for f in filters or [])
@@ -234,11 +267,10 @@ class ManagedTable:
     def detail(self) -> DataFrame:
         """Segments with their live rows."""
         snapshot = self.snapshot()
-        index = self.index(snapshot).select("segment", "path", "rows", "bytes", "staged")
+        index = self.index(snapshot).select(*CHOSEN)
         if not snapshot.deletes:
             return index.withColumn("live", F.col("rows"))
-        gone = self.delete_vectors(snapshot).groupBy("segment").agg(F.count("*").alias("gone"))
-        return index.join(gone, "segment", "left").withColumn("live", F.col("rows") - F.coalesce("gone", F.lit(0))).drop("gone")
+        return index.join(self.delete_counts(snapshot), "segment", "left").withColumn("live", F.col("rows") - F.coalesce("gone", F.lit(0))).drop("gone")
 
     # --- writing, for the operators ---
 
@@ -256,7 +288,7 @@ class ManagedTable:
         if not staged and (filtered["bloom"] or filtered["tri"]):
             text = [c for c in filtered["tri"] if isinstance(dict((f.physical, f.field.dataType) for f in schema.fields)[c], (T.StringType, T.BinaryType))]
             stats = stats.join(segment_filters(written, [c for c in filtered["bloom"] if bounded(dict((f.physical, f.field.dataType) for f in schema.fields)[c])], text, options.bloom_bits_per_value), "segment")
-        index = files.join(stats, "segment").withColumn("staged", F.lit(staged))
+        index = files.join(stats, "segment").withColumn("staged", F.lit(staged)).withColumn("siblings", F.lit(len(sizes)))
         have = set(index.columns)
         index = index.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
         at = f"index/{uuid.uuid4().hex}"
@@ -265,15 +297,25 @@ class ManagedTable:
         return at, int(rows), int(size), len(sizes)
 
     def write_deletes(self, positions: DataFrame) -> tuple[str, int]:
-        """Write a delete vector; return its folder and how many rows it names."""
+        """Write a delete vector, and beside it how many rows it names of each segment; return its folder and how many in all."""
         at = f"deletes/{uuid.uuid4().hex}"
-        positions.select("segment", "row_index").write.parquet(self.storage.path(at))
-        return at, self.spark.read.parquet(self.storage.path(at)).count()
+        positions.select("segment", "row_index").write.parquet(self.storage.path(f"{at}/rows"))
+        written = self.spark.read.schema("segment string, row_index long").parquet(self.storage.path(f"{at}/rows"))
+        written.groupBy("segment").agg(F.count("*").alias("gone")).coalesce(1).write.parquet(self.storage.path(f"{at}/counts"))
+        total = self.spark.read.schema("segment string, gone long").parquet(self.storage.path(f"{at}/counts")).agg(F.coalesce(F.sum("gone"), F.lit(0))).first()[0]
+        return at, int(total)
+
+    def add_deletes(self, base: Snapshot, at: str, count: int) -> dict:
+        """Changes that add a delete vector; once ``MERGE_DELETES`` folders are there they become one."""
+        folders = (*base.deletes, at)
+        if len(folders) >= MERGE_DELETES:
+            folders = (self.write_deletes(self.delete_vectors(replace(base, deletes=folders)))[0],)
+        return {"deletes": folders, "deleted": base.deleted + count}
 
     def pin(self, txn: int | None = None, name: str | None = None) -> str:
         """Keep a snapshot (the newest by default) readable through every vacuum until ``unpin``; returns the pin's name."""
         snapshot, name = self.snapshot(txn), name or uuid.uuid4().hex
-        if not self.storage.create(f"_pins/{name}", str(snapshot.txn).encode(), False):
+        if not self.storage.create(f"_pins/{name}", str(snapshot.txn).encode(), "none"):
             raise InvalidArgument(f"a pin {name!r} exists")
         return name
 
@@ -294,7 +336,7 @@ class ManagedTable:
         txns, pinned = log.commits(self.storage), set(self.pins().values())
         held = [t for t in txns if t in pinned or t in txns[-keep:] or self.storage.age_ms(f"_log/{t:020d}.json") < min_age_s * 1000]
         kept = [log.at(self.storage, t) for t in held]
-        index, deletes = {p for s in kept for p in s.index}, {p for s in kept for p in s.deletes}
+        index, deletes = {"/".join(p.split("/")[:2]) for s in kept for p in s.index}, {p for s in kept for p in s.deletes}
         folders: set[str] = set()
         for s in kept:
             folders |= {r.f for r in self.index(s).select(F.regexp_extract("path", "^(data/[^/]+)/", 1).alias("f")).distinct().collect()}
@@ -309,6 +351,14 @@ class ManagedTable:
         return removed
 
 
+def units(chosen: list) -> list[str]:
+    """What a scan of these segments lists: folders of which all segments are there, and single files."""
+    folders: dict[str, list] = {}
+    for r in chosen:
+        folders.setdefault(r.path.rsplit("/", 1)[0], []).append(r)
+    return [u for f, rs in folders.items() for u in ([f] if len(rs) == rs[0].siblings else [r.path for r in rs])]
+
+
 def _chosen(names: tuple[str, ...], schema: TableSchema) -> list[str]:
     return schema.names if names == ("*",) else list(names)
 
@@ -337,7 +387,10 @@ def _statistics(schema: TableSchema) -> list[Column]:
             nan = F.max(F.isnan(c))
             low, high = F.when(~nan, low), F.when(~nan, high)
         if isinstance(kind, (T.StringType, T.BinaryType)):
-            high = F.when(F.length(high) <= BOUND_LENGTH, high)
+            # Of a long greatest value the cut text followed by the last character there is; kept only where that is above the value.
+            last = F.lit("\U0010ffff") if isinstance(kind, T.StringType) else F.lit(b"\xff")
+            above = F.concat(F.substring(high, 1, BOUND_LENGTH), last)
+            high = F.when(F.length(high) <= BOUND_LENGTH, high).when(above > high, above)
             low = F.substring(low, 1, BOUND_LENGTH)
         out += [low.alias(f"min_{f.physical}"), high.alias(f"max_{f.physical}")]
     return out
