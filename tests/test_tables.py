@@ -10,7 +10,7 @@ from segtable.operators import dml, maintenance
 from segtable.operators.writing import flush, insert
 from segtable.options import TableOptions
 from segtable.sources import log
-from segtable.sources.table import ManagedTable
+from segtable.sources.table import MERGE_DELETES, ManagedTable, units
 
 ONE_GROUP = dict(row_group_rows=100, min_row_group_rows=100)
 
@@ -430,3 +430,57 @@ def test_no_local_folder_stands_in_on_a_cluster():
     unset = SimpleNamespace(get=lambda key, default=None: default)
     with pytest.raises(InvalidArgument):
         workspace.shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://host:7077")))
+
+
+def test_folders_counts_and_index_parts(spark, tmp_path):
+    """Whole folders are read as folders, deletes are counted beside their vectors and merged, and a change touches few index parts."""
+    engine, table = made(spark, tmp_path / "t", 3)
+    insert(table, rows(spark, 300, 700).repartition(4))
+    flush(table)
+    first = table.snapshot()
+    chosen = sorted(table.choose(first, None)[0], key=lambda r: r.path)
+    assert len(units(chosen)) == 4 and len(units(chosen[1:])) == 3 and len(units(chosen[:-1])) == 6 and ids(table.whole(first)) == list(range(700))
+    before = set(first.index)
+    for k in range(MERGE_DELETES):
+        dml.delete(table, f"id = {k}")
+    now = table.snapshot()
+    assert len(now.deletes) < MERGE_DELETES and now.deleted == MERGE_DELETES == table.delete_vectors(now).count()
+    assert {r.segment: r.gone for r in table.delete_counts(now).collect()} == {chosen[0].segment: MERGE_DELETES}
+    assert ids(engine.sql("SELECT id FROM t")) == list(range(MERGE_DELETES, 700))
+    assert maintenance.compact(table, 0.1).segments == 1
+    after = table.snapshot()
+    assert not after.deletes and after.rows == after.live_rows == 700 - MERGE_DELETES == table.row_count()
+    assert len(before & set(after.index)) == len(before) - 1  # only the part that named the segment is another
+    one = chosen[-1]
+    left = after.rows - one.rows
+    assert dml.delete_segments(table, [one.segment]) == 1 and table.row_count() == table.to_df().count() == table.whole(table.snapshot()).count() == left
+    table.vacuum()
+    assert ManagedTable.open(spark, str(tmp_path / "t")).to_df().count() == left
+
+
+def test_long_texts_keep_both_bounds(spark, tmp_path):
+    engine = Engine(spark)
+    table = engine.create("t", str(tmp_path / "t"), T.StructType([T.StructField("s", T.StringType()), T.StructField("b", T.BinaryType())]), TableOptions(**ONE_GROUP))
+    for c in ("a", "m", "\U0010ffff"):
+        insert(table, spark.createDataFrame([(c * 80, c.encode() * 80)], "s string, b binary"))
+        flush(table)
+    high = {r.max_c0 for r in table.index().collect()}
+    assert high == {"a" * 64 + "\U0010ffff", "m" * 64 + "\U0010ffff", None}
+    assert [(p.segments, p.pruned) for p in (table.explain("s > 'b'"), table.explain(f"s >= '{'m' * 80}'"))] == [(2, 1), (2, 1)]
+    assert table.scan(f"s >= '{'m' * 80}'").count() == 2 and table.scan("b > X'7A'").count() == 1
+
+
+def test_a_damaged_page_is_an_error(spark, tmp_path):
+    _, table = made(spark, tmp_path / "t", 1, dictionary_encoding=False, durability="full")
+    (file,) = (tmp_path / "t" / "data" / table.choose(table.snapshot(), None)[0][0].path.split("/")[1]).glob("*.parquet")
+    data = bytearray(file.read_bytes())
+    data[data.index((57).to_bytes(8, "little"))] ^= 64
+    file.write_bytes(data)
+    for crc in file.parent.glob(".*.crc"):  # else the local file system finds the damage first
+        crc.unlink()
+    with pytest.raises(Exception, match="(?i)crc|checksum"):
+        table.to_df().collect()
+    unchecked = ManagedTable.open(spark, str(tmp_path / "t"), TableOptions(verify_checksums=False))
+    assert 57 not in ids(unchecked.to_df())
+    with pytest.raises(InvalidArgument):
+        TableOptions(durability="some")
