@@ -484,3 +484,16 @@ def test_a_damaged_page_is_an_error(spark, tmp_path):
     assert 57 not in ids(unchecked.to_df())
     with pytest.raises(InvalidArgument):
         TableOptions(durability="some")
+
+
+def test_a_large_index_and_the_merging_of_its_parts(spark, tmp_path, monkeypatch):
+    """What is done beyond the sizes that the driver holds gives the same rows."""
+    _, table = made(spark, tmp_path / "t", 2)
+    monkeypatch.setattr("segtable.sources.table.SMALL_INDEX", 0)
+    monkeypatch.setattr("segtable.operators.writing.MOST_PARTS", 1)
+    monkeypatch.setattr("segtable.operators.writing.LISTED", 0)
+    table = ManagedTable.open(spark, str(tmp_path / "t"))
+    assert not table.held(table.snapshot()) and ids(table.whole(table.snapshot())) == list(range(200))
+    first = min(table.choose(table.snapshot(), None)[0], key=lambda r: r.path)
+    assert dml.delete_segments(table, [first.segment]) == 1
+    assert len(table.snapshot().index) == 1 and ids(table.whole(table.snapshot())) == list(range(100, 200)) and table.row_count() == 100
