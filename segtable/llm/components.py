@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import hot_keys, join_hot, remove, save
+from .scratch import hot_rows, join_hot, remove, save
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -18,13 +18,15 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     both = links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other")))
     labels, path = save(both.groupBy("id").agg(F.min("other").alias("least")).select("id", F.least("id", "least").alias("component")), "components")
-    hubs = hot_keys(both.groupBy("other").count(), ["other"])
+    hubs = {r.other for r in hot_rows(both.groupBy("other").count(), ["other"])}
     total = _total(labels)
     while total is not None:
-        giants = hot_keys(labels.groupBy("component").count(), ["component"])
-        jumped = join_hot(labels, labels.select(F.col("id").alias("component"), F.col("component").alias("to")), ["component"], giants).select("id", F.col("to").alias("component"))
-        reached = join_hot(both, labels.select(F.col("id").alias("other"), "component"), ["other"], hubs).select("id", "component")
-        new, new_path = save(jumped.unionByName(reached).groupBy("id").agg(F.min("component").alias("component")), "components")
+        # A node asks its label's node and its links' ends for their labels, all in one join.
+        asks = labels.select("id", F.col("component").alias("asked")).unionByName(both.select("id", F.col("other").alias("asked")))
+        known = labels.select(F.col("id").alias("asked"), "component")
+        large = hubs | {r.component for r in hot_rows(labels.groupBy("component").count(), ["component"])}
+        hot = links.sparkSession.createDataFrame([(k,) for k in sorted(large)], known.select("asked").schema) if large else None
+        new, new_path = save(join_hot(asks, known, ["asked"], hot).groupBy("id").agg(F.min("component").alias("component")), "components")
         new_total = _total(new)
         remove(links.sparkSession, path)
         labels, path = new, new_path

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..workspace import new_folder, remove
 
-__all__ = ["bytes_of", "hot_keys", "join_hot", "new_folder", "remove", "save", "table"]
+__all__ = ["bytes_of", "hot_keys", "hot_rows", "join_hot", "new_folder", "remove", "save", "table"]
 
 #: A key is hot if it has more than one in ``HOT_SHARE`` of all rows and more than ``HOT_ROWS``; so there are fewer hot keys than ``HOT_SHARE``.
 HOT_SHARE, HOT_ROWS = 1000, 500
@@ -37,11 +37,16 @@ def bytes_of(spark: SparkSession, path: str) -> int:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
 
 
+def hot_rows(counts: DataFrame, keys: list[str], rows: str = "count") -> list:
+    """The keys of ``counts`` (a row each) that hold more than their share of all ``rows``, fewer than ``HOT_SHARE``."""
+    total, most = counts.agg(F.sum(rows), F.max(rows)).first()
+    least = max(HOT_ROWS, (total or 0) // HOT_SHARE)
+    return counts.where(F.col(rows) > least).select(*keys).collect() if (most or 0) > least else []
+
+
 def hot_keys(counts: DataFrame, keys: list[str], rows: str = "count") -> DataFrame | None:
-    """The keys of ``counts`` (a row each) that hold more than their share of all ``rows``; None if there are none."""
-    total = counts.agg(F.sum(rows)).first()[0] or 0
-    least = max(HOT_ROWS, total // HOT_SHARE)
-    found = counts.where(F.col(rows) > least).select(*keys).collect() if total > HOT_ROWS else []
+    """``hot_rows`` as a table; None if there are none."""
+    found = hot_rows(counts, keys, rows)
     return counts.sparkSession.createDataFrame(found, counts.select(*keys).schema) if found else None
 
 
