@@ -200,6 +200,31 @@ def test_zorder(spark, tmp_path):
         ManagedTable.create(spark, str(tmp_path / "bad"), schema, TableOptions(cluster_by=("none",)))
 
 
+@pytest.mark.parametrize("cluster", [(), ("score",)])
+def test_many_small_segments_take_few_tasks(spark, tmp_path, monkeypatch, cluster):
+    """Neither tasks of a layout nor paths that a rewrite lists grow with the number of small segments."""
+    before = [spark.conf.get(f"spark.sql.{c}") for c in ("files.openCostInBytes", "execution.rangeExchange.sampleSizePerPartition")]
+    engine = Engine(spark)
+    table = engine.create("t", str(tmp_path / "t"), scan_schema(), TableOptions(row_group_rows=4, min_row_group_rows=4, cluster_by=cluster))
+    insert(table, rows(spark, 0, 2400))
+    assert flush(table) == 2400
+    segments = sorted(table.index().collect(), key=lambda r: r.segment)
+    assert len({r.segment[:10] for r in segments}) <= 64  # part-00000 and so on: a task each
+    assert 600 <= len(segments) <= 664 and max(r.rows for r in segments) <= 4 and sum(r.rows for r in segments) == 2400
+    key = "c2" if cluster else "c0"
+    assert all(a[f"max_{key}"] <= b[f"min_{key}"] for a, b in zip(segments, segments[1:]))
+    assert table.explain(f"{cluster[0] if cluster else 'id'} = 50").pruned > 500
+    listed, files = [], ManagedTable.files
+    monkeypatch.setattr(ManagedTable, "files", lambda self, paths, schema: listed.append(len(paths)) or files(self, paths, schema))
+    assert dml.delete(table, "id % 3 != 0") == 1600
+    chosen = table.choose(table.snapshot(), None)[0]
+    assert table.live_rows(chosen, table.snapshot()) == table.row_count() == 800
+    done = maintenance.rewrite_all(table)
+    assert (done.segments, done.runs, done.stale) == (len(segments), 1, 0) and max(listed) == 1
+    assert ids(engine.sql("SELECT * FROM t")) == list(range(0, 2400, 3)) and not table.snapshot().deletes
+    assert before == [spark.conf.get(f"spark.sql.{c}") for c in ("files.openCostInBytes", "execution.rangeExchange.sampleSizePerPartition")]
+
+
 def test_compaction(spark, tmp_path):
     _, table = made(spark, tmp_path / "t", 4)
     dml.delete(table, "id < 100 or (id >= 100 and id < 180)")
